@@ -80,15 +80,23 @@ def value_prefix_counts(
 
 
 def order_stats(
-    prefix: DataFrame, value: str, picks: Mapping[str, Callable[[Column], Column]], keys: Sequence[str] = ()
+    prefix: DataFrame,
+    value: str,
+    picks: Mapping[str, Callable[[Column], Column]],
+    keys: Sequence[str] = (),
+    distinct_name: str | None = None,
 ) -> DataFrame:
-    """Elements at given 0-based ranks. ``picks`` maps a name to a rank as a function of the total."""
+    """Elements at given 0-based ranks. ``picks`` maps a name to a rank as a function of the total.
+
+    ``distinct_name`` also counts the distinct values.
+    """
     total = F.col("total")
     hits = {
         name: F.max(F.when((F.col("before") <= rank(total)) & (rank(total) < F.col("before") + F.col("cnt")), F.col(value)))
         for name, rank in picks.items()
     }
-    return prefix.groupBy(*keys).agg(*[agg.alias(name) for name, agg in hits.items()], F.max("total").alias("n"))
+    extra = [F.count(F.lit(1)).alias(distinct_name)] if distinct_name else []
+    return prefix.groupBy(*keys).agg(*[agg.alias(name) for name, agg in hits.items()], F.max("total").alias("n"), *extra)
 
 
 def floor_rank(q: float) -> Callable[[Column], Column]:
@@ -129,6 +137,6 @@ def block_window(keys: Sequence[str], idx: str) -> Window:
 def series_blocks(df: DataFrame, idx: str, value: str, keys: Sequence[str] = (), before: int = 0, size: int = BLOCK) -> DataFrame:
     """Blocks of an indexed series as sorted arrays ``xs`` of ``(i, v, own)``: at most ``size + before`` long."""
     rows = bucketed_rows(df, idx, before, 0, size)
-    return rows.groupBy(*keys, "_block").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(value).cast("double").alias("v"), F.col("_own").alias("own")))).alias("xs")
-    )
+    cell = F.struct(F.col(idx).alias("i"), F.col(value).cast("double").alias("v"), F.col("_own").alias("own"))
+    blocks = rows.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(cell)).alias("xs"))
+    return blocks.where(F.exists("xs", lambda x: x["own"]))

@@ -6,7 +6,7 @@ import importlib
 
 from tablelens.plans.registry import ORACLE, QUERIES
 
-FAMILIES = ("relational",)
+FAMILIES = ("relational", "profile", "correlation")
 
 
 def load_all():
