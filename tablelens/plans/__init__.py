@@ -6,7 +6,7 @@ import importlib
 
 from tablelens.plans.registry import ORACLE, QUERIES
 
-FAMILIES = ("relational", "profile", "correlation", "anomaly")
+FAMILIES = ("relational", "profile", "correlation", "anomaly", "association")
 
 
 def load_all():
