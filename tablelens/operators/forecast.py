@@ -53,7 +53,8 @@ def _accuracy(n: Column, e: dict[str, Column]) -> list[Column]:
     return [spread.alias("spread"), (e["a"] / n).alias("mae"), (e["p"] / n).alias("mape"), F.sqrt(e["rr"] / n).alias("rmse")]
 
 
-_NO_SEASONS = F.lit(None).cast("array<double>").alias("seasons")
+def _no_seasons() -> Column:
+    return F.lit(None).cast("array<double>").alias("seasons")
 
 
 def moving_average(series: DataFrame, keys: Sequence[str] = (), window: int | None = None) -> DataFrame:
@@ -77,7 +78,7 @@ def moving_average(series: DataFrame, keys: Sequence[str] = (), window: int | No
         F.coalesce(F.stddev_samp("r"), F.lit(0.0)).alias("spread"),
     )
     return sums.select(
-        *keys, "n", F.lit("moving_average").alias("method"), "level", F.lit(0.0).alias("trend"), _NO_SEASONS, "spread", "mae", "mape", "rmse"
+        *keys, "n", F.lit("moving_average").alias("method"), "level", F.lit(0.0).alias("trend"), _no_seasons(), "spread", "mae", "mape", "rmse"
     )
 
 
@@ -175,7 +176,7 @@ def _smooth(series: DataFrame, keys: Sequence[str], alpha: float, beta: float, w
     n = F.col("n")
     method = "double_smoothing" if with_trend else "single_smoothing"
     return sums.select(
-        *keys, "n", F.lit(method).alias("method"), F.col("last.l").alias("level"), F.col("last.t").alias("trend"), _NO_SEASONS,
+        *keys, "n", F.lit(method).alias("method"), F.col("last.l").alias("level"), F.col("last.t").alias("trend"), _no_seasons(),
         *_accuracy(n, {x: F.col(x) for x in ("r", "rr", "a", "p")}),
     )
 
