@@ -6,7 +6,7 @@ import importlib
 
 from tablelens.plans.registry import ORACLE, QUERIES
 
-FAMILIES = ("relational", "profile", "correlation", "anomaly", "association", "forecast", "words")
+FAMILIES = ("relational", "profile", "correlation", "anomaly", "association", "forecast", "words", "pages", "retrieval")
 
 
 def load_all():
