@@ -6,7 +6,9 @@ import importlib
 
 from tablelens.plans.registry import ORACLE, QUERIES
 
-FAMILIES = ("relational", "profile", "correlation", "anomaly", "association", "forecast", "words", "pages", "retrieval")
+FAMILIES = (
+    "relational", "profile", "correlation", "anomaly", "association", "forecast", "words", "pages", "retrieval", "charts", "usage", "ingest",
+)
 
 
 def load_all():
