@@ -12,12 +12,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablelens.operators.joins import attach_stats
+from tablelens.operators.joins import attach_stats, equi_join
 from tablelens.operators.ordering import (
     block_window,
     bucketed_rows,
     exact_medians,
     floor_rank,
+    order_elements,
     order_stats,
     value_prefix_counts,
     with_row_index,
@@ -61,8 +62,7 @@ def zscore_anomalies(rows: DataFrame, keys: Sequence[str] = (), limit: float = Z
 
 def iqr_bounds(rows: DataFrame, keys: Sequence[str] = (), factor: float = IQR_FACTOR) -> DataFrame:
     """Fences from the elements at ranks floor(n/4) and floor(3n/4); none under four values."""
-    prefix = value_prefix_counts(rows, "value", keys)
-    q = order_stats(prefix, "value", {"q1": floor_rank(0.25), "q3": floor_rank(0.75)}, keys)
+    q = order_elements(rows, "value", {"q1": (0.25, floor_rank(0.25)), "q3": (0.75, floor_rank(0.75))}, keys)
     iqr = F.when(F.col("n") >= 4, F.col("q3") - F.col("q1"))
     return q.select(*keys, iqr.alias("iqr"), (F.col("q1") - factor * iqr).alias("lower"), (F.col("q3") + factor * iqr).alias("upper"))
 
@@ -221,7 +221,7 @@ def method_bounds(rows: DataFrame, keys: Sequence[str] = (), methods: Sequence[s
 def anomaly_summary(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Counts, rate band, ranges of flagged and unflagged values, points hit by several methods."""
     marks = found.select("idx", (F.size("methods") > 1).cast("int").alias("several"), F.lit(1).alias("hit"))
-    joined = rows.select("idx", "value").join(marks, "idx", "left")
+    joined = equi_join(rows.select("idx", "value"), marks, ["idx"], "left")
     hit, v = F.col("hit").isNotNull(), F.col("value")
     out = joined.agg(
         F.count(F.lit(1)).alias("total"),

@@ -43,7 +43,7 @@ def baskets(df: DataFrame, basket: str, item: str | Column) -> DataFrame:
 def frequent_itemsets(transactions: DataFrame, min_support: float = MIN_SUPPORT, max_size: int | None = None) -> DataFrame:
     """Itemsets with support >= ``min_support``: ``(items, size, freq, support, n)``, items sorted."""
     n = transactions.count()
-    return _mine(transactions, n, min_support, max_size)
+    return _mine(transactions, n, n, min_support, max_size)
 
 
 def frequent_itemsets_of_pairs(df: DataFrame, basket: str, item: str | Column, min_support: float = MIN_SUPPORT, max_size: int | None = None) -> DataFrame:
@@ -58,12 +58,13 @@ def frequent_itemsets_of_pairs(df: DataFrame, basket: str, item: str | Column, m
     need = min_support * n - EPS
     counts = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= need).select("item")
     kept = pairs.join(F.broadcast(counts), "item", "left_semi")
-    return _mine(baskets(kept, "basket", "item"), n, min_support, max_size)
+    kept_baskets = materialize(baskets(kept, "basket", "item"))
+    return _mine(kept_baskets, n, kept_baskets.count(), min_support, max_size)
 
 
-def _mine(transactions: DataFrame, n: int, min_support: float, max_size: int | None) -> DataFrame:
+def _mine(transactions: DataFrame, n: int, present: int, min_support: float, max_size: int | None) -> DataFrame:
+    """Mine ``present`` transactions against the support base ``n``."""
     # the support limit is inclusive; the library rounds its count threshold up in floating point
-    present = transactions.count()
     relative = min(1.0, max(min_support * n - EPS * n, 0.0) / present) if present else 1.0
     growth = FPGrowth(itemsCol="items", minSupport=relative, minConfidence=0.0)
     sets = growth.fit(transactions.select("items")).freqItemsets

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelens.functions.text import strip_space
 from tablelens.operators.joins import attach_stats
-from tablelens.operators.ordering import floor_rank, order_stats, value_prefix_counts, with_row_index
+from tablelens.operators.ordering import floor_rank, order_elements, with_row_index
 from tablelens.operators.profile import classify, column_profile
+from tablelens.session import materialize
 
 # fixed values: limits and date formats
 SERIES_POINTS, PIE_SLICES = 50, 10
@@ -183,21 +184,21 @@ def radar_extremes(axes: DataFrame) -> DataFrame:
 
 
 def funnel(stages: DataFrame, stage: str, value: str, ascending: bool = False) -> DataFrame:
-    """Stages by value with the rate to the previous stage and the share of the first.
-
-    ``stages`` holds one row per stage, so the ordered window is over a handful of rows.
-    """
-    order = [F.col(value).asc() if ascending else F.col(value).desc(), F.col(stage).asc()]
-    w = Window.orderBy(*order)
-    prev = F.lag(value).over(w)
-    head = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return stages.select(
-        F.col(stage).alias("stage"), F.col(value).alias("value"), F.row_number().over(w).alias("step"),
-        F.try_divide(F.col(value) * 100.0, prev.cast("double")).alias("rate_pct"), F.try_divide(F.col(value) * 100.0, head.cast("double")).alias("share_pct"),
+    """Stages (one row each) by value, with the rate to the previous stage and the share of the first."""
+    order = [F.col("value").asc() if ascending else F.col("value").desc(), F.col("stage").asc()]
+    rows = stages.select(F.col(stage).alias("stage"), F.col(value).alias("value"))
+    placed = materialize(with_row_index(rows, order))
+    head = placed.where(F.col("idx") == 0).first()
+    before = placed.select((F.col("idx") + 1).alias("idx"), F.col("value").alias("prev"))
+    share = F.try_divide(F.col("value") * 100.0, F.lit(head["value"]).cast("double")) if head else F.lit(None).cast("double")
+    return placed.join(before, "idx", "left").select(
+        "stage", "value", (F.col("idx") + 1).cast("int").alias("step"),
+        F.try_divide(F.col("value") * 100.0, F.col("prev").cast("double")).alias("rate_pct"), share.alias("share_pct"),
     )
 
 
 def treemap(df: DataFrame, name: str, value: str) -> DataFrame:
+    """Summed value and percentage of the whole per name."""
     groups = df.groupBy(F.col(name).alias("name")).agg(F.sum(F.col(value).cast("double")).alias("value"))
     return groups.select("name", "value", F.try_divide(F.col("value") * 100, _total(df, value)).alias("pct"))
 
@@ -229,9 +230,9 @@ def gauge(value: DataFrame, column: str, maximum: float = 100.0) -> DataFrame:
 def box_plot(df: DataFrame, group: str, value: str) -> DataFrame:
     """Per group: whiskers, quartiles at floor ranks, upper median, mean, population sd, n."""
     rows = df.select(F.col(group).alias("group"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    picks = {"low": lambda n: F.lit(0), "q1": floor_rank(0.25), "median": floor_rank(0.5), "q3": floor_rank(0.75), "high": lambda n: n - 1}
-    ranks = order_stats(value_prefix_counts(rows, "v", ["group"]), "v", picks, ["group"])
-    moments = rows.groupBy("group").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    picks = {name: (q, floor_rank(q)) for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    ranks = order_elements(rows, "v", picks, ["group"])
+    moments = rows.groupBy("group").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
     iqr = F.col("q3") - F.col("q1")
     return attach_stats(ranks, moments, ["group"]).select(
         "group", F.greatest(F.col("low"), F.col("q1") - 1.5 * iqr).alias("lower"), "q1", "median", "q3",

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelens.functions.stats import round_half_up, z_for
 from tablelens.operators.correlation import regression_on_index
-from tablelens.operators.joins import attach_stats
+from tablelens.operators.joins import attach_stats, equi_join
 from tablelens.operators.ordering import BLOCK, block_window, bucketed_rows, series_blocks, with_row_index
 from tablelens.operators.profile import columns_of
 from tablelens.session import materialize
@@ -101,7 +101,7 @@ def _chain_starts(vectors: DataFrame, keys: Sequence[str], init: DataFrame, matr
         total = F.aggregate("cs", zero, lambda s, c: _affine(m, s, c))
         upper = groups.select(*keys, F.col("_up").alias("_block"), total["l"].alias("cl"), total["t"].alias("ct"))
         starts = _chain_starts(upper, keys, init, np.linalg.matrix_power(m, BLOCK)).withColumnRenamed("_block", "_up")
-        chains = groups.join(starts, [*keys, "_up"])
+        chains = equi_join(groups, starts, [*keys, "_up"])
     first = F.struct(F.col("L").alias("l"), F.col("T").alias("t"))
     states = F.aggregate(
         "cs", F.array(first), lambda acc, c: F.concat(acc, F.array(_affine(m, F.element_at(acc, -1), c)))
@@ -154,7 +154,7 @@ def _smooth(series: DataFrame, keys: Sequence[str], alpha: float, beta: float, w
         added = F.aggregate("vs", zero, run)
         vectors = blocks.select(*keys, "_block", added["l"].alias("cl"), added["t"].alias("ct"))
         starts = _chain_starts(vectors, keys, init.drop("n"), np.linalg.matrix_power(a, size))
-        started = attach_stats(blocks.join(starts, [*keys, "_block"]), init.select(*keys, "n"), keys)
+        started = attach_stats(equi_join(blocks, starts, [*keys, "_block"]), init.select(*keys, "n"), keys)
     zero = F.struct(
         F.col("L").cast("double").alias("l"), F.col("T").cast("double").alias("t"),
         *[F.lit(0.0).alias(x) for x in ("r", "rr", "a", "p")],
@@ -224,7 +224,7 @@ def triple_smoothing(
     if isinstance(periods, int):
         sized = lengths.withColumn("period", F.lit(periods))
     else:
-        sized = lengths.join(periods.select(*keys, "period"), keys) if keys else attach_stats(lengths, periods, [])
+        sized = equi_join(lengths, periods.select(*keys, "period"), keys) if keys else attach_stats(lengths, periods, [])
     sized = materialize(sized.where(F.col("n") >= 2 * F.col("period")).select(*keys, "n", F.col("period").cast("long").alias("period")))
     rows = attach_stats(series.select(*keys, "idx", "value"), sized, keys).where(F.col("period").isNotNull())
     phases = rows.groupBy(*keys, "period", (F.col("idx") % F.col("period")).alias("phase")).agg(
@@ -289,7 +289,7 @@ def triple_smoothing(
             if out:
                 yield pd.DataFrame(out)
 
-    started = blocks.join(entering, [*keys, "_block"])
+    started = equi_join(blocks, entering, [*keys, "_block"])
     parts = attach_stats(started, final.select(*keys, "final_seasons"), keys).mapInPandas(errors, err_ddl)
     sums = parts.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in ("r", "rr", "a", "p")])
     joined = attach_stats(attach_stats(sums, final, keys), sized.select(*keys, "n"), keys)
@@ -352,7 +352,7 @@ def seasonality(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     found = best.select(*keys, (-F.col("b.neg")).cast("int").alias("period"), F.col("b.acf").alias("strength"))
     everyone = _lengths(series, keys)
     if keys:
-        out = everyone.join(found, list(keys), "left")
+        out = equi_join(everyone, found, list(keys), "left")
     else:
         hit = found.where(F.col("period").isNotNull()).first()
         out = everyone.withColumns({"period": F.lit(hit["period"] if hit else None).cast("int"), "strength": F.lit(hit["strength"] if hit else None).cast("double")})
@@ -370,7 +370,7 @@ def choose_models(series: DataFrame, keys: Sequence[str]) -> DataFrame:
         .when((F.col("direction") != "stable") & (F.col("t_strength") > TREND_R2), "double")
         .otherwise("compare")
     )
-    return season.join(trend, list(keys)).where(F.col("n") >= 3).select(*keys, plan.alias("plan"), "period")
+    return equi_join(season, trend, list(keys)).where(F.col("n") >= 3).select(*keys, plan.alias("plan"), "period")
 
 
 def auto_fit(series: DataFrame, keys: Sequence[str]) -> DataFrame:

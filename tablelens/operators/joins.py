@@ -37,6 +37,17 @@ def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> DataFr
     return counts.where(F.col("_cnt") * share > total).select(*on)
 
 
+def equi_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join in which a NULL key matches a NULL key, as in grouping. ``small`` broadcasts ``right``."""
+    renamed = right.select(*[F.col(f"`{c}`").alias(f"_right_{c}") if c in on else F.col(f"`{c}`") for c in right.columns])
+    condition = None
+    for c in on:
+        same = left[c].eqNullSafe(renamed[f"_right_{c}"])
+        condition = same if condition is None else condition & same
+    out = left.join(F.broadcast(renamed) if small else renamed, condition, how)
+    return out.drop(*[f"_right_{c}" for c in on])
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join that spreads the hot keys of ``big`` over several tasks.
 
@@ -44,19 +55,19 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     hash of the row, so a recomputed task places its rows as before.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(big, on).withColumn("_hot", F.lit(True)))
+    hot = materialize(hot_keys(big, on).withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c in big.columns]), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    left = big.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
+    left = equi_join(big, hot, on, "left", small=True).withColumn("_salt", salt).drop("_hot")
     last = F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(F.lit(0))
-    right = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last)).cast("long")).drop("_hot")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    right = equi_join(small, hot, on, "left", small=True).withColumn("_salt", F.explode(F.sequence(F.lit(0), last)).cast("long")).drop("_hot")
+    return equi_join(left, right, [*on, "_salt"], how).drop("_salt")
 
 
 def join_stats(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join per-key statistics to the rows: broadcast when measured small, salted otherwise."""
     small = materialize(small)
     if estimated_bytes(small)[1] <= BROADCAST_BYTES:
-        return big.join(F.broadcast(small), list(on), how)
+        return equi_join(big, small, list(on), how, small=True)
     return salted_join(big, small, on, how)
 
 

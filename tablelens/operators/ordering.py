@@ -10,9 +10,12 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tablelens.operators.joins import attach_stats, equi_join
 from tablelens.session import materialize
 
 BLOCK = 4096
+DIRECT_ROWS = 5_000_000
+SKETCH_ACCURACY = 10_000
 
 
 def _as_columns(cols: Sequence[str | Column]) -> list[Column]:
@@ -48,7 +51,7 @@ def with_row_index(
     before = F.sum("_cnt").over(by_key.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
     extra = [F.sum("_cnt").over(by_key).alias(count_name)] if count_name else []
     parts = parts.select(*keys, "_pid", (F.col("_first") - F.coalesce(before, F.lit(0))).alias("_shift"), *extra)
-    out = rows.join(parts, [*keys, "_pid"])
+    out = equi_join(rows, parts, [*keys, "_pid"])
     tail = [F.col(count_name)] if count_name else []
     return out.select(*df.columns, (F.col("_mono") - F.col("_shift")).alias(name), *tail)
 
@@ -74,7 +77,7 @@ def value_prefix_counts(
     parts = parts.select(
         *keys, "_pid", F.coalesce(before, F.lit(0)).alias("_off"), F.sum("_cnt").over(by_key).alias("total")
     )
-    return rows.join(parts, [*keys, "_pid"]).select(
+    return equi_join(rows, parts, [*keys, "_pid"]).select(
         *keys, value, "cnt", (F.coalesce("_run", F.lit(0)) + F.col("_off")).alias("before"), "total"
     )
 
@@ -108,10 +111,56 @@ MEDIAN_LOW: Callable[[Column], Column] = lambda n: F.floor((n - 1) / 2).cast("lo
 MEDIAN_HIGH: Callable[[Column], Column] = lambda n: F.floor(n / 2).cast("long")
 
 
-def exact_medians(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "median", weight: str | None = None) -> DataFrame:
+def order_elements(
+    df: DataFrame,
+    value: str,
+    picks: Mapping[str, tuple[float, Callable[[Column], Column]]],
+    keys: Sequence[str] = (),
+    direct_rows: int = DIRECT_ROWS,
+) -> DataFrame:
+    """Exact elements at given ranks: ``picks`` maps a name to its quantile and its rank.
+
+    Up to ``direct_rows`` rows all values are sorted. Beyond, a quantile sketch first gives bounds
+    around each rank; values outside are only counted, and the few inside are sorted. A key whose
+    rank lies outside its bounds is sorted in full, so the result is exact either way.
+    """
+    rows = df.select(*keys, value).where(F.col(value).isNotNull())
+    if rows.count() <= direct_rows:
+        return order_stats(value_prefix_counts(rows, value, keys), value, {k: rank for k, (_, rank) in picks.items()}, keys)
+    return _bracketed_elements(rows, value, picks, list(keys))
+
+
+def _bracketed_elements(rows: DataFrame, value: str, picks, keys: list[str]) -> DataFrame:
+    margin = 2.0 / SKETCH_ACCURACY
+    edges = [min(1.0, max(0.0, q + side)) for q, _ in picks.values() for side in (-margin, margin)]
+    sketch = F.percentile_approx(value, F.array(*[F.lit(e) for e in edges]), F.lit(SKETCH_ACCURACY))
+    bounds = materialize(rows.groupBy(*keys).agg(F.count(value).alias("n"), sketch.alias("_b")))
+    placed = attach_stats(rows, bounds, keys)
+    v = F.col(value)
+    inside = [v.between(F.col("_b")[2 * i], F.col("_b")[2 * i + 1]) for i in range(len(picks))]
+    below = placed.groupBy(*keys).agg(*[F.count_if(v < F.col("_b")[2 * i]).alias(f"_below{i}") for i in range(len(picks))])
+    hits = F.array_compact(F.array(*[F.when(hit, F.lit(i)) for i, hit in enumerate(inside)]))
+    kept = placed.select(*keys, value, F.explode(hits).alias("_pick"))
+    prefix = value_prefix_counts(kept, value, [*keys, "_pick"])
+    ranked = attach_stats(bounds.drop("_b"), below, keys)
+    targets = F.array(*[F.struct(F.lit(i).alias("_pick"), (rank(F.col("n")) - F.col(f"_below{i}")).alias("_rank")) for i, (_, rank) in enumerate(picks.values())])
+    goals = ranked.select(*keys, "n", F.inline(targets))
+    found = attach_stats(prefix, goals, [*keys, "_pick"]).where((F.col("before") <= F.col("_rank")) & (F.col("_rank") < F.col("before") + F.col("cnt")))
+    out = materialize(found.groupBy(*keys).agg(*[F.max(F.when(F.col("_pick") == i, v)).alias(name) for i, name in enumerate(picks)], F.max("n").alias("n")))
+    complete = out.dropna(subset=list(picks))
+    direct = {k: rank for k, (_, rank) in picks.items()}
+    if not keys:
+        return complete if not complete.isEmpty() else order_stats(value_prefix_counts(rows, value), value, direct)
+    missed = materialize(equi_join(bounds.select(*keys), complete.select(*keys), keys, "left_anti"))
+    if missed.isEmpty():
+        return complete
+    rest = attach_stats(rows, missed.withColumn("_missed", F.lit(True)), keys).where("_missed").drop("_missed")
+    return complete.unionByName(order_stats(value_prefix_counts(rest, value, keys), value, direct, keys))
+
+
+def exact_medians(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "median", direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """Interpolated median per key (mean of the two middle values for an even count)."""
-    prefix = value_prefix_counts(df, value, keys, weight)
-    picked = order_stats(prefix, value, {"_lo": MEDIAN_LOW, "_hi": MEDIAN_HIGH}, keys)
+    picked = order_elements(df, value, {"_lo": (0.5, MEDIAN_LOW), "_hi": (0.5, MEDIAN_HIGH)}, keys, direct_rows)
     return picked.select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias(name), "n")
 
 

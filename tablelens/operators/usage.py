@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tablelens.operators.joins import equi_join
+
 # fixed values: requests per minute and per day of each plan
 QUOTAS = {"free": (10, 100), "pro": (100, 10000), "team": (500, 100000)}
 
@@ -41,7 +43,7 @@ def quota_report(log: DataFrame, key: str, plan: str, ts: str, tie: str) -> Data
     day = F.to_date(ts).alias("day")
     asked = log.groupBy(key, day).agg(F.count(F.lit(1)).alias("requests"))
     got = admitted_requests(log, key, plan, ts, tie).groupBy(key, day).agg(F.count(F.lit(1)).alias("admitted"))
-    both = asked.join(got, [key, "day"], "left").withColumn("admitted", F.coalesce("admitted", F.lit(0)))
+    both = equi_join(asked, got, [key, "day"], "left").withColumn("admitted", F.coalesce("admitted", F.lit(0)))
     return both.withColumn("rejected", F.col("requests") - F.col("admitted"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from tablelens.operators import relational as rel
+from tablelens.operators.charts import treemap
 from tablelens.plans.registry import query, table
 
 REVENUE = "l_extendedprice * (1 - l_discount)"
@@ -154,11 +155,8 @@ def brand_totals(spark, sf):
        FROM orders GROUP BY o_orderpriority""",
 )
 def priority_share(spark, sf):
-    totals = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("t"))
-    everything = Window.partitionBy()
-    return totals.select(
-        "o_orderpriority", F.round("t", 2).alias("total"), F.round(100 * F.col("t") / F.sum("t").over(everything), 4).alias("pct")
-    )
+    shares = treemap(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice")
+    return shares.select(F.col("name").alias("o_orderpriority"), F.round("value", 2).alias("total"), F.round("pct", 4).alias("pct"))
 
 
 @query("events_per_user", "Q6", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id")

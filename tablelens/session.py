@@ -42,13 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read on from there.
+    """Write ``df`` as a table in the shared folder and read on from there.
 
-    Used where a later pass must see exactly the same rows in the same partitions, also after
-    executors are lost.
+    Used where a later pass must see exactly the same rows, also after executors are lost, and to cut
+    the lineage of loops. Later passes read only the columns they need.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "part")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
