@@ -58,8 +58,8 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     hot = materialize(hot_keys(big, on).withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c in big.columns]), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
     left = equi_join(big, hot, on, "left", small=True).withColumn("_salt", salt).drop("_hot")
-    last = F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(F.lit(0))
-    right = equi_join(small, hot, on, "left", small=True).withColumn("_salt", F.explode(F.sequence(F.lit(0), last)).cast("long")).drop("_hot")
+    last = F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)).cast("long")
+    right = equi_join(small, hot, on, "left", small=True).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_hot")
     return equi_join(left, right, [*on, "_salt"], how).drop("_salt")
 
 
