@@ -68,7 +68,7 @@ def t_two_sided(t: Column, df: Column) -> Column:
 
     The series converges fastest below x = 1/2, so the symmetric form serves the other half.
     """
-    x = df / (df + t * t)
+    x = F.try_divide(df, df + t * t)
     a, b = df / 2.0, F.lit(0.5)
     small = F.when(x < 0.5, incomplete_beta(x, a, b)).otherwise(1.0 - incomplete_beta(1.0 - x, b, a))
     return F.when(df >= NORMAL_FROM_DF, 2.0 * (1.0 - normal_cdf(F.abs(t)))).otherwise(small)

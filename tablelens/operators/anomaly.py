@@ -56,7 +56,7 @@ def zscore_bounds(rows: DataFrame, keys: Sequence[str] = (), limit: float = Z_LI
 
 def zscore_anomalies(rows: DataFrame, keys: Sequence[str] = (), limit: float = Z_LIMIT) -> DataFrame:
     """Flags |v - mean| / sd > limit; nothing under three values or without spread."""
-    z = F.abs(F.col("value") - F.col("m")) / F.col("sd")
+    z = F.try_divide(F.abs(F.col("value") - F.col("m")), F.col("sd"))
     return _flag(attach_stats(rows, zscore_bounds(rows, keys, limit), keys), keys, "zscore", z, F.col("sd").isNotNull() & (z > limit))
 
 
@@ -69,7 +69,7 @@ def iqr_bounds(rows: DataFrame, keys: Sequence[str] = (), factor: float = IQR_FA
 
 def iqr_anomalies(rows: DataFrame, keys: Sequence[str] = (), factor: float = IQR_FACTOR) -> DataFrame:
     past = F.greatest(F.col("lower") - F.col("value"), F.col("value") - F.col("upper"))
-    score = F.when(F.col("iqr") > 0, past / F.col("iqr"))
+    score = F.try_divide(past, F.col("iqr"))
     return _flag(attach_stats(rows, iqr_bounds(rows, keys, factor), keys), keys, "iqr", score, past > 0)
 
 
@@ -85,7 +85,7 @@ def mad_bounds(rows: DataFrame, keys: Sequence[str] = (), limit: float = MAD_LIM
 def mad_anomalies(rows: DataFrame, keys: Sequence[str] = (), limit: float = MAD_LIMIT) -> DataFrame:
     """Distance from the median in scaled MADs; without spread every other value is flagged."""
     away = F.abs(F.col("value") - F.col("med"))
-    score = F.when(F.col("mad") > 0, away / F.col("mad"))
+    score = F.try_divide(away, F.col("mad"))
     hit = F.when(F.col("mad") > 0, score > limit).otherwise(F.col("mad").isNotNull() & (away > 0))
     return _flag(attach_stats(rows, mad_bounds(rows, keys, limit), keys), keys, "mad", score, hit)
 
@@ -107,12 +107,12 @@ def _window_scores(rows: DataFrame, keys: Sequence[str], window: int) -> DataFra
     mean = F.try_divide(F.col("n1") * F.col("m1") + F.col("n2") * F.col("m2"), k)
     gap = F.col("m1") - F.col("m2")
     ss = F.col("n1") * F.col("v1") + F.col("n2") * F.col("v2") + F.try_divide(gap * gap * F.col("n1") * F.col("n2"), k)
-    scored = parts.select(*keys, "idx", "value", k.alias("k"), mean.alias("m"), F.when(k >= 3, F.sqrt(ss / (k - 1))).alias("sd"))
+    scored = parts.select(*keys, "idx", "value", k.alias("k"), mean.alias("m"), F.when(k >= 3, F.sqrt(F.try_divide(ss, (k - 1).cast("double")))).alias("sd"))
     return attach_stats(scored, sizes, keys).where((F.col("n") >= window) & (F.col("sd") > 0))
 
 
 def window_anomalies(rows: DataFrame, keys: Sequence[str] = (), window: int = WINDOW_ROWS, limit: float = Z_LIMIT) -> DataFrame:
-    z = F.abs(F.col("value") - F.col("m")) / F.col("sd")
+    z = F.try_divide(F.abs(F.col("value") - F.col("m")), F.col("sd"))
     return _flag(_window_scores(rows, keys, window), keys, "window", z, z > limit)
 
 

@@ -49,10 +49,15 @@ def _lengths(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _accuracy(n: Column, e: dict[str, Column]) -> list[Column]:
-    spread = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (e["rr"] - e["r"] * e["r"] / n) / (n - 1)))).otherwise(F.lit(0.0))
+    spread = F.coalesce(F.sqrt(F.greatest(F.lit(0.0), F.try_divide(e["rr"] - e["r"] * e["r"] / n, (n - 1).cast("double")))), F.lit(0.0))
     return [spread.alias("spread"), (e["a"] / n).alias("mae"), (e["p"] / n).alias("mape"), F.sqrt(e["rr"] / n).alias("rmse")]
 
 
+def _abs_pct(err: Column, actual: Column) -> Column:
+    """Absolute error in percent of the actual value; 0 where that is 0."""
+    return F.coalesce(F.abs(F.try_divide(err, actual)) * 100, F.lit(0.0))
+
+
 def _no_seasons() -> Column:
     return F.lit(None).cast("array<double>").alias("seasons")
 
@@ -67,7 +72,7 @@ def moving_average(series: DataFrame, keys: Sequence[str] = (), window: int | No
     tail = halo.withColumn("w", w).withColumn("tail", F.collect_list("value").over(frame)).where(F.col("_own") & (F.col("idx") >= F.col("w") - 1))
     mean = F.aggregate(F.slice("tail", -F.col("w"), F.col("w")), F.lit(0.0), lambda a, x: a + x) / F.col("w")
     fit = tail.withColumn("ma", mean).withColumn("r", F.col("value") - F.col("ma"))
-    ape = F.when(F.col("value") != 0, F.abs(F.col("r") / F.col("value")) * 100).otherwise(F.lit(0.0))
+    ape = _abs_pct(F.col("r"), F.col("value"))
     sums = fit.groupBy(*keys).agg(
         F.max("n").alias("n"),
         F.max_by("ma", "idx").alias("level"),
@@ -163,7 +168,7 @@ def _smooth(series: DataFrame, keys: Sequence[str], alpha: float, beta: float, w
     def track(s: Column, v: Column) -> Column:
         level, trend = step(s["l"], s["t"], v)
         err = v - (level + s["t"])
-        ape = F.when(v != 0, F.abs(err / v) * 100).otherwise(F.lit(0.0))
+        ape = _abs_pct(err, v)
         return F.struct(
             level.alias("l"), trend.alias("t"), (s["r"] + err).alias("r"), (s["rr"] + err * err).alias("rr"),
             (s["a"] + F.abs(err)).alias("a"), (s["p"] + ape).alias("p"),
@@ -217,7 +222,8 @@ def triple_smoothing(
 
     The recurrence is not linear, so blocks of one series run one after the other and hand their
     state on; all series advance together, and a series within one block needs one round. Series
-    under two periods are not returned (use :func:`double_smoothing` for them).
+    under two periods, or with a phase that averages 0, have no multiplicative seasons and are not
+    returned (use another model for them).
     """
     keys = list(keys)
     lengths = _lengths(series, keys)
@@ -234,12 +240,12 @@ def triple_smoothing(
     )
     cells = F.array_sort(F.collect_list(F.struct("phase", "f")))
     start = phases.groupBy(*keys, "period").agg(cells.alias("c"), F.avg("f").alias("mean"), F.max("v0").alias("v0"), F.max("vp").alias("vp"))
-    seasons = F.transform("c", lambda x: x["f"] / F.col("mean"))
-    level = F.col("v0") / F.col("seasons")[0]
+    seasons = F.transform("c", lambda x: F.try_divide(x["f"], F.col("mean")))
+    start = start.withColumn("seasons", seasons).where(F.forall("seasons", lambda x: F.coalesce(x != 0, F.lit(False))))
+    level = F.try_divide(F.col("v0"), F.col("seasons")[0])
+    later = F.try_divide(F.col("vp"), F.col("seasons")[0])
     state = materialize(
-        start.withColumn("seasons", seasons).select(
-            *keys, "period", level.alias("L"), ((F.col("vp") / F.col("seasons")[0] - level) / F.col("period")).alias("T"), "seasons"
-        )
+        start.select(*keys, "period", level.alias("L"), F.try_divide(later - level, F.col("period").cast("double")).alias("T"), "seasons")
     )
     blocks = materialize(
         series_blocks(rows, "idx", "value", keys, 0, size).select(*keys, "_block", F.transform("xs", lambda x: x["v"]).alias("vs"))
@@ -384,12 +390,17 @@ def auto_fit(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     counts = {r["plan"]: r["count"] for r in plans.groupBy("plan").count().collect()}
     fits = []
+    rest = part("compare") if counts.get("compare") else None
     if counts.get("triple"):
-        fits.append(triple_smoothing(part("triple"), plans.where(F.col("plan") == "triple"), keys))
+        seasonal = materialize(triple_smoothing(part("triple"), plans.where(F.col("plan") == "triple"), keys))
+        fits.append(seasonal)
+        if seasonal.count() < counts["triple"]:
+            # no multiplicative seasons: these series join the comparison
+            left = equi_join(part("triple"), seasonal.select(*keys), keys, "left_anti")
+            rest = left if rest is None else rest.unionByName(left)
     if counts.get("double"):
         fits.append(double_smoothing(part("double"), keys))
-    if counts.get("compare"):
-        rest = part("compare")
+    if rest is not None:
         order = ("moving_average", "single_smoothing", "double_smoothing")
         tried = moving_average(rest, keys).unionByName(single_smoothing(rest, keys)).unionByName(double_smoothing(rest, keys))
         rank = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("method"))

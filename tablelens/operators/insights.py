@@ -34,7 +34,7 @@ def column_findings(profile: DataFrame) -> DataFrame:
     """Missing cells, dispersion, three-sigma breach, candidate key, low cardinality."""
     rate = F.try_divide(F.col("nulls").cast("double"), F.col("rows").cast("double"))
     numeric = F.col("class") == "number"
-    cv = F.when(F.col("mean") != 0, F.col("stddev") / F.abs("mean")).otherwise(F.lit(0.0))
+    cv = F.coalesce(F.try_divide(F.col("stddev"), F.abs("mean")), F.lit(0.0))
     low, high = F.col("mean") - SIGMAS * F.col("stddev"), F.col("mean") + SIGMAS * F.col("stddev")
     is_key = (F.col("distinct") == F.col("rows")) & (F.col("rows") > KEY_MIN_ROWS)
     ratio = F.try_divide(F.col("distinct").cast("double"), F.col("rows").cast("double"))

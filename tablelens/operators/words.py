@@ -28,7 +28,8 @@ def effective_rules(built_in: DataFrame, user: DataFrame | None = None) -> DataF
 def without_rules(rules: DataFrame, removed: DataFrame) -> DataFrame:
     """Drop the ``(category, key)`` rows named in ``removed``."""
     gone = removed.select("category", F.lower("key").alias("key")).distinct()
-    return rules.join(gone, ["category", "key"], "left_anti")
+    keyed = rules.withColumn("key", F.lower("key"))
+    return keyed.join(gone, ["category", "key"], "left_anti").select("category", "key", "value")
 
 
 def add_rules(user: DataFrame, added: DataFrame) -> DataFrame:
