@@ -22,7 +22,8 @@ def word_runs(text: Column) -> Column:
 
 def word_tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters (matched before lowering)."""
-    return F.transform(word_runs(text), F.lower)
+    runs = F.lower(F.trim(F.regexp_replace(text, "[^a-zA-Z]+", " ")))
+    return F.when(runs != "", F.split(runs, " ")).otherwise(F.array().cast("array<string>"))
 
 
 def clean_word(word: Column) -> Column:

@@ -19,7 +19,8 @@ from tablelens.session import materialize
 # fixed values: result sizes, score weights, confidence limits
 TOP_K, VECTOR_WEIGHT, KEYWORD_WEIGHT, SIMILAR = 5, 0.7, 0.3, 0.7
 QUERY_BLOCK = 512
-ROW_BLOCK = 1024
+CELLS = 4_000_000
+SEEN_WORDS = 500_000
 
 
 # ---- corpus statistics ---------------------------------------------------------------------
@@ -157,6 +158,28 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> Dat
     return _merge(parts, k)
 
 
+def _inner_tokens(column: dict[str, int]):
+    """Columns of the query tokens that occur inside a word, remembered per word.
+
+    A token consists of word characters, so it lies within one word of the text.
+    """
+    longest = max(map(len, column), default=0)
+    seen: dict[str, np.ndarray] = {}
+
+    def find(word: str) -> np.ndarray:
+        got = seen.get(word)
+        if got is None:
+            n = len(word)
+            parts = {word[i:j] for i in range(n) for j in range(i + 2, min(n, i + longest) + 1)}
+            got = np.array([column[p] for p in parts if p in column], dtype=np.int64)
+            if len(seen) >= SEEN_WORDS:
+                seen.clear()
+            seen[word] = got
+        return got
+
+    return find
+
+
 def _only(tokens: Column, vocab: list[str]) -> Column:
     return F.filter(tokens, lambda t: t.isin(vocab)) if vocab else F.array().cast("array<string>")
 
@@ -207,18 +230,20 @@ def text_search(
 
         def run(frames, ids=ids, vocab=vocab, column=column, idf=idf, q=q, share=share):
             best = _Keeper(len(ids), k)
+            inside = _inner_tokens(column)
+            step = max(1, CELLS // max(1, len(vocab)))
             for pdf in frames:
-                for at in range(0, len(pdf), ROW_BLOCK):
-                    part = pdf.iloc[at : at + ROW_BLOCK]
+                for at in range(0, len(pdf), step):
+                    part = pdf.iloc[at : at + step]
                     x = np.zeros((len(part), len(vocab)))
                     has = np.zeros((len(part), len(vocab)))
                     for i, (hits, n, norm, words) in enumerate(zip(part["hits"], part["n_tokens"], part["norm"], part["words"])):
-                        if norm and norm > 0:
-                            for t in hits:
-                                x[i, column[t]] += 1.0
-                            x[i] *= idf / (n * norm)
+                        if norm and norm > 0 and len(hits):
+                            found = np.fromiter((column[t] for t in hits), dtype=np.int64, count=len(hits))
+                            x[i] = np.bincount(found, minlength=len(vocab)) * (idf / (n * norm))
                         if keyword_weight:
-                            has[i] = [w in words for w in vocab]
+                            for w in words.split(" "):
+                                has[i, inside(w)] = 1.0
                     scores = vector_weight * (x @ q.T)
                     if keyword_weight:
                         scores = scores + keyword_weight * (has @ share.T)

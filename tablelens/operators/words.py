@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelens.functions.text import clean_word, paragraphs, strip_suffix, word_runs, word_tokens
 from tablelens.operators.joins import join_stats
-from tablelens.operators.ordering import with_row_index
+from tablelens.operators.ordering import value_prefix_counts
+from tablelens.session import materialize
 
 PHRASE_CATEGORIES = ("abbreviations", "compound_nouns")
 
@@ -116,42 +117,67 @@ def _mark_phrases(tokens: Column, pattern: str, longest: int) -> Column:
     return F.split(F.regexp_replace(marked, r"\]", ""), " ")
 
 
-def tokens_with_phrases(paras: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Tokens of each paragraph; a phrase keeps its first word, with the phrase in ``phrase``.
+def _token_cells(tokens: Column, pattern: str | None, longest: int) -> Column:
+    """Structs ``(position, word, phrase)`` of one paragraph; only paragraphs with a phrase are marked."""
+    plain = F.transform(tokens, lambda w, i: F.struct(i.alias("position"), w.alias("word"), F.lit(None).cast("string").alias("phrase")))
+    if pattern is None:
+        return plain
 
-    The phrase list is part of the rule table and small, so it becomes one regular expression that
-    runs inside the scan of the paragraphs; positions keep their gaps.
-    """
+    def cell(mark: Column, i: Column) -> Column:
+        ahead = F.array_join(F.slice(tokens, i + 1, longest), " ")
+        phrase = F.when(mark.startswith("["), F.regexp_extract(ahead, "^" + pattern, 1))
+        return F.struct(i.alias("position"), F.regexp_replace(mark, r"^\[", "").alias("word"), phrase.alias("phrase"))
+
+    heads = F.filter(F.transform(_mark_phrases(tokens, pattern, longest), cell), lambda c: ~c["word"].startswith("+"))
+    return F.when(F.array_join(tokens, " ").rlike(pattern), heads).otherwise(plain)
+
+
+def _phrase_search(phrases: DataFrame) -> tuple[str | None, int]:
+    """The phrase list as one regular expression. It is part of the rule table and small."""
     listed = phrases.select("phrase", "words").distinct().collect()
-    toks = paras.select("doc_id", "paragraph_id", word_tokens(F.col("text")).alias("tokens"))
-    plain = F.transform("tokens", lambda w, i: F.struct(i.alias("position"), w.alias("word"), F.lit(None).cast("string").alias("phrase")))
     if not listed:
-        cells = plain
-    else:
-        pattern = phrase_pattern([r["phrase"] for r in listed])
-        longest = max(r["words"] for r in listed)
-        toks = toks.withColumn("marked", F.when(F.array_join("tokens", " ").rlike(pattern), _mark_phrases(F.col("tokens"), pattern, longest)))
+        return None, 0
+    return phrase_pattern([r["phrase"] for r in listed]), max(r["words"] for r in listed)
+
 
-        def cell(mark: Column, i: Column) -> Column:
-            ahead = F.array_join(F.slice("tokens", i + 1, longest), " ")
-            phrase = F.when(mark.startswith("["), F.regexp_extract(ahead, "^" + pattern, 1))
-            return F.struct(i.alias("position"), F.regexp_replace(mark, r"^\[", "").alias("word"), phrase.alias("phrase"))
+def _paragraph_cells(paras: DataFrame, phrases: DataFrame) -> DataFrame:
+    pattern, longest = _phrase_search(phrases)
+    toks = paras.select("doc_id", "paragraph_id", word_tokens(F.col("text")).alias("tokens"))
+    return toks.select("doc_id", "paragraph_id", _token_cells(F.col("tokens"), pattern, longest).alias("cells"))
 
-        heads = F.filter(F.transform("marked", cell), lambda c: ~c["word"].startswith("+"))
-        cells = F.when(F.col("marked").isNotNull(), heads).otherwise(plain)
-    return toks.select("doc_id", "paragraph_id", F.inline(cells))
+
+def tokens_with_phrases(paras: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Tokens of each paragraph; a phrase keeps its first word, with the phrase in ``phrase``.
+
+    The search runs inside the scan of the paragraphs; positions keep their gaps.
+    """
+    return _paragraph_cells(paras, phrases).select("doc_id", "paragraph_id", F.inline("cells"))
 
 
 def word_table(docs: DataFrame, rules: DataFrame, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
-    """``(word_id, doc_id, paragraph_id, position, word, lemma)`` of a corpus."""
+    """``(word_id, doc_id, paragraph_id, position, word, lemma)`` of a corpus with unique ids.
+
+    The text is read once; the tokens of each paragraph are written out for the later passes. Word
+    ids need no sort of the words: a paragraph knows the order of its own, so only the word counts of
+    the paragraphs are ordered and summed.
+    """
     phrases = phrase_table(rules)
-    tokens = tokens_with_phrases(paragraph_table(docs, doc_id, text), phrases)
+    cells = materialize(_paragraph_cells(paragraph_table(docs, doc_id, text), phrases))
+    if with_ids:
+        counts = cells.select(F.struct("doc_id", "paragraph_id").alias("place"), F.size("cells").alias("n"))
+        before = value_prefix_counts(counts, "place", weight="n").select("place.*", F.col("before").alias("_before"))
+        placed = join_stats(cells, before, ["doc_id", "paragraph_id"])
+    else:
+        placed = cells.withColumn("_before", F.lit(0))
+    opened = placed.select("doc_id", "paragraph_id", "_before", F.posexplode("cells").alias("_i", "_c"))
+    tokens = opened.select((F.col("_before") + F.col("_i")).cast("long").alias("word_id"), "doc_id", "paragraph_id", "_c.*")
     tagged = join_stats(tokens, phrases.groupBy("phrase").agg(F.min("lemma").alias("p_lemma")), ["phrase"])
-    lemmas = with_lemma(tagged, "word", rules)
+    words = cells.select(F.explode(F.transform("cells", lambda c: c["word"])).alias("word"))
+    lemmas = join_stats(tagged, word_lemmas(words, "word", rules), ["word"])
     # the phrase lemma counts where it differs from the word
     lemma = F.when(F.col("p_lemma").isNotNull() & (F.col("p_lemma") != F.col("word")), F.col("p_lemma")).otherwise(F.col("lemma"))
-    words = lemmas.select("doc_id", "paragraph_id", "position", "word", lemma.alias("lemma"))
-    return with_row_index(words, ["doc_id", "paragraph_id", "position"], name="word_id") if with_ids else words
+    ids = ["word_id"] if with_ids else []
+    return lemmas.select(*ids, "doc_id", "paragraph_id", "position", "word", lemma.alias("lemma"))
 
 
 # ---- vocabulary ----------------------------------------------------------------------------

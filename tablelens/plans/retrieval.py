@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablelens.functions.text import search_tokens
 from tablelens.operators import retrieval as ret
 from tablelens.plans.registry import query, table
+from tablelens.session import spread
 
 _TOK = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^\\w\\x{{4e00}}-\\x{{9fa5}}\\s]', ' ', 'g'), '\\s+'), lambda t: length(t) > 1)"
 
@@ -25,7 +26,7 @@ _QUERIES = f"""qt AS (SELECT item_id AS query_id, {tokens_sql('text')} AS t FROM
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def _questions(spark, sf):

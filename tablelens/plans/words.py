@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablelens.functions.lexicon import built_in_rules, rules_frame
 from tablelens.operators import words as w
 from tablelens.plans.registry import query, table
+from tablelens.session import spread
 
 RULES_SQL = "rules(category, key, value) AS (VALUES " + ", ".join(f"('{c}', '{k}', '{v}')" for c, k, v in built_in_rules()) + ")"
 
@@ -70,7 +71,7 @@ def lemma_sql(source: str) -> str:
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 @query("paragraphs", "S8", f"WITH {PARAS_SQL} SELECT doc_id, paragraph_id, text, CAST(len(regexp_extract_all(text, '[a-zA-Z]+')) AS INT) AS word_count FROM paras")
