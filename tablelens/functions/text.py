@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from tablelens.functions.lexicon import SUFFIX_RULES
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_space(col: Column) -> Column:
     return F.regexp_replace(col, r"^\s+|\s+$", "")
 
@@ -23,7 +30,7 @@ def word_runs(text: Column) -> Column:
 def word_tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters (matched before lowering)."""
     runs = F.lower(F.trim(F.regexp_replace(text, "[^a-zA-Z]+", " ")))
-    return F.when(runs != "", F.split(runs, " ")).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.split(runs, " "), lambda w: w != "")
 
 
 def clean_word(word: Column) -> Column:

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablelens.functions.text import search_tokens
+from tablelens.functions.text import bind, search_tokens
 from tablelens.operators.joins import join_stats, top_k
 from tablelens.session import materialize
 
@@ -26,10 +26,19 @@ SEEN_WORDS = 500_000
 # ---- corpus statistics ---------------------------------------------------------------------
 
 def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(doc_id, token, tf, n_tokens)``: one row per document and different token."""
-    toks = docs.select(F.col(doc_id).alias("doc_id"), search_tokens(F.col(text)).alias("t"))
-    long = toks.select("doc_id", F.size("t").alias("n_tokens"), F.explode("t").alias("token"))
-    return long.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("n_tokens").alias("n_tokens"))
+    """``(doc_id, token, tf, n_tokens)``: one row per document and different token, without a shuffle."""
+    # counted inside the row: sorted tokens, the first of each run of equal ones, distance to the next
+    def counted(s: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))))
+        new = F.filter(F.transform(F.zip_with(s, before, lambda t, b: F.when(t != b, t)), lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda m: m["t"].isNotNull())
+        return bind(new, lambda starts: lengths(starts, F.size(s)))
+
+    def lengths(starts: Column, n: Column) -> Column:
+        ends = F.concat(F.transform(F.slice(starts, 2, F.size(starts)), lambda m: m["i"]), F.array(n))
+        return F.zip_with(starts, ends, lambda m, e: F.struct(m["t"].alias("token"), (e - m["i"]).cast("long").alias("tf"), n.alias("n_tokens")))
+
+    runs = bind(F.sort_array(search_tokens(F.col(text))), lambda s: F.when(F.size(s) > 0, counted(s)))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.inline(runs))
 
 
 def document_frequency(docs: DataFrame, text: str) -> DataFrame:
@@ -45,22 +54,21 @@ def merge_document_frequency(known: DataFrame, new: DataFrame) -> DataFrame:
 
 def tfidf(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Sparse L2-normalised vectors ``(doc_id, token, weight)`` with tf / length * ln(N / df); zeros left out."""
-    weights, norms = _weights_and_norms(docs, doc_id, text, True)
-    return join_stats(weights, norms, ["doc_id"]).where(F.col("w") > 0).select("doc_id", "token", (F.col("w") / F.col("norm")).alias("weight"))
+    weights = materialize(_weights(docs, doc_id, text, docs.count(), document_frequency(docs, text)))
+    return join_stats(weights, _norms(weights), ["doc_id"]).where(F.col("w") > 0).select("doc_id", "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def _weights_and_norms(docs: DataFrame, doc_id: str, text: str, use_idf: bool) -> tuple[DataFrame, DataFrame]:
+def _weights(docs: DataFrame, doc_id: str, text: str, n_docs: int, df: DataFrame | None) -> DataFrame:
+    """Unnormalised weights; plain relative frequencies where no document frequencies are given."""
     counts = term_counts(docs, doc_id, text)
-    if use_idf:
-        counts = materialize(counts)
-        n = docs.count()
-        df = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        weighted = join_stats(counts, df, ["token"])
-        weights = weighted.select("doc_id", "token", (F.col("tf") / F.col("n_tokens") * F.log(F.lit(float(n)) / F.col("df"))).alias("w"))
-    else:
-        weights = counts.select("doc_id", "token", (F.col("tf") / F.col("n_tokens")).alias("w"))
-    norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights, norms
+    tf = F.col("tf") / F.col("n_tokens")
+    if df is None:
+        return counts.select("doc_id", "token", tf.alias("w"))
+    return join_stats(counts, df, ["token"]).select("doc_id", "token", (tf * F.log(F.lit(float(n_docs)) / F.col("df"))).alias("w"))
+
+
+def _norms(weights: DataFrame) -> DataFrame:
+    return weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -201,8 +209,8 @@ def text_search(
     pass only needs the query tokens of each document and its different words.
     """
     n_docs = docs.count()
-    norms = materialize(_weights_and_norms(docs, doc_id, text, use_idf)[1])
     df = materialize(document_frequency(docs, text)) if use_idf else None
+    norms = _norms(_weights(docs, doc_id, text, n_docs, df))
     tokens = search_tokens(F.col(text))
     base = join_stats(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), norms, ["doc_id"])
     runs = F.array_join(F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[^\w一-龥]+", " "), " ")), " ")
@@ -242,16 +250,15 @@ def text_search(
                             found = np.fromiter((column[t] for t in hits), dtype=np.int64, count=len(hits))
                             x[i] = np.bincount(found, minlength=len(vocab)) * (idf / (n * norm))
                         if keyword_weight:
-                            for w in words.split(" "):
-                                has[i, inside(w)] = 1.0
+                            has[i, np.concatenate([inside(w) for w in words.split(" ")])] = 1.0
                     scores = vector_weight * (x @ q.T)
                     if keyword_weight:
                         scores = scores + keyword_weight * (has @ share.T)
                     best.add(scores, part["doc_id"].to_numpy(np.int64))
             yield best.frame(ids)
 
-        known_tokens = _only(tokens, vocab)
-        scored = base.select("doc_id", known_tokens.alias("hits"), F.size(tokens).alias("n_tokens"), "norm", runs.alias("words"))
+        counted = bind(tokens, lambda t: F.struct(_only(t, vocab).alias("hits"), F.size(t).alias("n_tokens")))
+        scored = base.select("doc_id", counted.alias("c"), "norm", runs.alias("words")).select("doc_id", "c.*", "norm", "words")
         parts.append(scored.mapInPandas(run, _FOUND))
     if not parts:
         raise ValueError("no queries")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablelens.functions.text import clean_word, paragraphs, strip_suffix, word_runs, word_tokens
+from tablelens.functions.text import bind, clean_word, paragraphs, strip_suffix, word_runs, word_tokens
 from tablelens.operators.joins import join_stats
 from tablelens.operators.ordering import value_prefix_counts
 from tablelens.session import materialize
@@ -124,6 +124,7 @@ def _token_cells(tokens: Column, pattern: str | None, longest: int) -> Column:
         return plain
 
     def cell(mark: Column, i: Column) -> Column:
+        # only evaluated at phrase heads
         ahead = F.array_join(F.slice(tokens, i + 1, longest), " ")
         phrase = F.when(mark.startswith("["), F.regexp_extract(ahead, "^" + pattern, 1))
         return F.struct(i.alias("position"), F.regexp_replace(mark, r"^\[", "").alias("word"), phrase.alias("phrase"))
@@ -142,8 +143,8 @@ def _phrase_search(phrases: DataFrame) -> tuple[str | None, int]:
 
 def _paragraph_cells(paras: DataFrame, phrases: DataFrame) -> DataFrame:
     pattern, longest = _phrase_search(phrases)
-    toks = paras.select("doc_id", "paragraph_id", word_tokens(F.col("text")).alias("tokens"))
-    return toks.select("doc_id", "paragraph_id", _token_cells(F.col("tokens"), pattern, longest).alias("cells"))
+    cells = bind(word_tokens(F.col("text")), lambda tokens: _token_cells(tokens, pattern, longest))
+    return paras.select("doc_id", "paragraph_id", cells.alias("cells"))
 
 
 def tokens_with_phrases(paras: DataFrame, phrases: DataFrame) -> DataFrame:
