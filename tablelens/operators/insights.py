@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablelens.operators.ordering import value_prefix_counts, with_row_index
 from tablelens.operators.profile import column_profile, columns_of
@@ -60,10 +60,13 @@ def half_split_means(df: DataFrame, date_col: str, value_col: str, tie: str) ->
     Only the date that holds the cut is put in order row by row; all other dates fall on one side
     as a whole.
     """
-    rows = df.select(F.col(date_col).alias("d"), F.col(value_col).cast("double").alias("v"), F.col(tie).alias("t")).dropna(subset=["d", "v"])
+    # the cut travels as text or microseconds, which no time zone changes
+    date = F.unix_micros(date_col) if isinstance(df.schema[date_col].dataType, T.TimestampType) else F.col(date_col)
+    rows = df.select(date.alias("d"), F.col(value_col).cast("double").alias("v"), F.col(tie).alias("t")).dropna(subset=["d", "v"])
     prefix = value_prefix_counts(rows, "d")
     half = F.floor(F.col("total") / 2)
-    cut = prefix.where((F.col("before") <= half) & (half < F.col("before") + F.col("cnt"))).first()
+    at_cut = prefix.where((F.col("before") <= half) & (half < F.col("before") + F.col("cnt")))
+    cut = at_cut.select(F.col("d").cast("string").alias("d"), "before", "total").first()
     if cut is None:
         return None, None
     day = F.lit(cut["d"]).cast(rows.schema["d"].dataType)
