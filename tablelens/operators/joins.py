@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablelens.session import materialize
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 HOT_SHARE = 1000
+GROUP_LIMIT = 1000  # Spark's default threshold for limits inside windows
 
 
 def estimated_bytes(df: DataFrame) -> tuple[int, int]:
@@ -80,12 +81,15 @@ def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows of every group.
+    """The first ``k`` rows of every group; ``order`` ends in a unique column.
 
-    Spark cuts each map task's output to ``k`` rows per group before the shuffle as long as
-    ``k`` does not exceed its group-limit threshold.
+    Spark cuts each map task's output to ``k`` rows per group before the shuffle as long as ``k`` does
+    not exceed its group-limit threshold. Beyond, rows are numbered by a range sort instead.
     """
-    from pyspark.sql import Window
+    if k > GROUP_LIMIT:
+        from tablelens.operators.ordering import with_row_index
 
+        placed = with_row_index(df, order, group, name=rank)
+        return placed.withColumn(rank, (F.col(rank) + 1).cast("int")).where(F.col(rank) <= k)
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)

@@ -16,8 +16,23 @@ ERF_SQL = """(1 - ((((1.061405429::DOUBLE * t - 1.453152027::DOUBLE) * t + 1.421
              + 0.254829592::DOUBLE) * t * exp(-x * x))"""
 
 
+# two-sided t tail for whole degrees of freedom n - 2 as a finite sum in sin = |r| and cos^2 = 1 - r^2
+SMALL_SQL = """CASE WHEN n % 2 = 0
+    THEN 1 - abs(r) * coalesce(list_sum(list_transform(range(0, CAST((n - 2) // 2 AS BIGINT)),
+        lambda j: gamma(2 * j + 1) / (gamma(j + 1) * gamma(j + 1) * pow(4, j)) * pow(1 - r * r, j))), 0)
+    ELSE 1 - 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(1 - r * r) * coalesce(list_sum(list_transform(range(0, CAST((n - 3) // 2 AS BIGINT)),
+        lambda j: pow(4, j) * gamma(j + 1) * gamma(j + 1) / gamma(2 * j + 2) * pow(1 - r * r, j))), 0)) END"""
+
+
+def p_sql(source: str) -> str:
+    """``source`` (.., r, n) with the p-value: normal tail from 30 degrees of freedom on, exact sum below."""
+    return f"""SELECT * EXCLUDE (x, t), CASE WHEN n < 3 THEN 1 WHEN abs(r) >= 1 THEN 0 WHEN n - 2 >= 30 THEN greatest(0, 1 - {ERF_SQL}) ELSE {SMALL_SQL} END AS p FROM (
+        SELECT *, 1 / (1 + 0.3275911::DOUBLE * x) AS t FROM (
+        SELECT *, abs(r) * sqrt((n - 2) / nullif(1 - r * r, 0)) / sqrt(2) AS x FROM ({source})))"""
+
+
 def pairs_sql(name: str, columns: list[str], rank: bool = False) -> str:
-    """Unrounded pairs (i, j, col1, col2, r, p, n); the p-value holds from 30 degrees of freedom on."""
+    """Unrounded pairs (i, j, col1, col2, r, p, n)."""
     parts = []
     for i, j in combinations(range(len(columns)), 2):
         a, b = columns[i], columns[j]
@@ -26,9 +41,7 @@ def pairs_sql(name: str, columns: list[str], rank: bool = False) -> str:
             src = f"""(SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS a,
                               rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS b FROM {src})"""
         parts.append(f"SELECT {i} AS i, {j} AS j, '{a}' AS col1, '{b}' AS col2, corr(a, b) AS r, count(*) AS n FROM {src}")
-    return f"""SELECT i, j, col1, col2, r, CASE WHEN abs(r) >= 1 THEN 0 ELSE greatest(0, 1 - {ERF_SQL}) END AS p, n FROM (
-        SELECT *, 1 / (1 + 0.3275911::DOUBLE * x) AS t FROM (
-        SELECT *, abs(r) * sqrt((n - 2) / nullif(1 - r * r, 0)) / sqrt(2) AS x FROM ({' UNION ALL '.join(parts)})))"""
+    return p_sql(' UNION ALL '.join(parts))
 
 
 R3 = "floor({0} * 1000 + 0.5) / 1000"
@@ -73,13 +86,15 @@ def correlation_p_values(spark, sf):
     return corr.correlation_pairs(table(spark, sf, "lineitem"), LINE).select("col1", "col2", F.round("p", 6).alias("p"))
 
 
-@query(
-    "correlation_p_small_samples",
-    "C4",
-)
+_PER_NATION = """SELECT s_nationkey, 's_suppkey' AS col1, 's_acctbal' AS col2, count(*) AS n,
+    CASE WHEN count(*) < 3 THEN 0 ELSE coalesce(corr(s_suppkey, s_acctbal), 0) END AS r FROM supplier GROUP BY s_nationkey"""
+
+
+@query("correlation_p_small_samples", "C4", f"SELECT s_nationkey, col1, col2, round(r, 6) AS r, round(p, 6) AS p, n FROM ({p_sql(_PER_NATION)})")
 def correlation_p_small_samples(spark, sf):
     """Per nation, where the supplier groups have few rows: the incomplete-beta branch."""
-    return corr.pearson(table(spark, sf, "supplier"), "s_suppkey", "s_acctbal", ["s_nationkey"])
+    out = corr.pearson(table(spark, sf, "supplier"), "s_suppkey", "s_acctbal", ["s_nationkey"])
+    return out.withColumns({"r": F.round("r", 6), "p": F.round("p", 6)})
 
 
 def matrix_sql(name: str, columns: list[str]) -> str:

@@ -64,6 +64,12 @@ def adhoc_sql_row_count(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("total_rows"))
 
 
+@query("adhoc_sql_page", "R5 R6", f"SELECT c_mktsegment, customers, CAST(n_orders AS BIGINT) AS n_orders, spend FROM ({_ADHOC}) ORDER BY c_mktsegment LIMIT 1000")
+def adhoc_sql_page(spark, sf):
+    """The first 1000 rows of an ad-hoc result; ``adhoc_sql_row_count`` counts all of them."""
+    return rel.preview(adhoc_sql(spark, sf), ["c_mktsegment"])
+
+
 @query("table_preview", "R6", "SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 1000")
 def table_preview(spark, sf):
     return rel.preview(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"])

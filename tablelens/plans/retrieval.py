@@ -241,3 +241,8 @@ def document_listing(spark, sf):
 def chunk_listing(spark, sf):
     docs = _docs(spark, sf)
     return ret.chunks_of_document(_chunks(docs), docs.agg(F.max("doc_id")).first()[0])
+
+
+@query("chunk_listing_all", "M17", f"WITH {_CHUNKS} SELECT doc_id, chunk_index, content FROM ch ORDER BY doc_id, chunk_index")
+def chunk_listing_all(spark, sf):
+    return _chunks(_docs(spark, sf)).orderBy("doc_id", "chunk_index")

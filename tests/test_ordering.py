@@ -115,3 +115,10 @@ def test_top_k_cuts_before_the_shuffle(df):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert top.where(F.col("k") == "hot").count() == 3
+
+
+@pytest.mark.parametrize("limit", [1000, 2])
+def test_top_k_both_ways(df, rows, monkeypatch, limit):
+    monkeypatch.setattr(joins, "GROUP_LIMIT", limit)
+    got = {(r["id"], r["rank"]) for r in joins.top_k(df, ["k"], [F.asc("v"), F.asc("id")], 3).collect()}
+    assert got == {(i, n + 1) for g in by_key(rows).values() for n, (v, i) in enumerate(g[:3])}
