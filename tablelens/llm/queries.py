@@ -2,17 +2,47 @@
 
 from __future__ import annotations
 
-from tablelens.llm import exact_dedup, mixing
+from tablelens.llm import decontamination, exact_dedup, language, license_scan, mixing, quality, suffix_dedup, token_counts, toxicity
 from tablelens.llm.common import table
 
 
+def op1_license_scan(spark, sf_dir):
+    return license_scan.license_scan(license_scan.laid_out(table(spark, sf_dir, "documents")), "doc_id", "path")
+
+
 def op2_source_mixing(spark, sf_dir):
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_benchmark_decontamination(spark, sf_dir):
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op6_exact_dedup)}
-ORACLE = {"op2_source_mixing": mixing.SQL, "op6_exact_dedup": exact_dedup.SQL}
+def op8_quality_classifier(spark, sf_dir):
+    return quality.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark, sf_dir):
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_source_mixing, op3_token_counts, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_exact_dedup, op8_quality_classifier, op9_language_id, op10_toxicity)}
+ORACLE = {"op1_license_scan": license_scan.SQL, "op2_source_mixing": mixing.SQL, "op4_benchmark_decontamination": decontamination.SQL, "op5_suffix_array_dedup": suffix_dedup.SQL, "op6_exact_dedup": exact_dedup.SQL}
