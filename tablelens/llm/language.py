@@ -19,15 +19,15 @@ from tablelens.llm.common import fold_of, with_whole_rows
 PIECES = 256  # sampled pieces per language: the bound of what is learned from
 PIECE_CHARS = 400
 PIECE_BYTES = 2048  # compressed at once, so that a long text does not become its own dictionary
-LEVEL = 1
-NARROW = 0.02
+LEVEL = 6
+NARROW = 0.01
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _BLANK = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
 def fold(text: str) -> bytes:
-    return text.lower().encode().translate(_BLANK)
+    return b" ".join(text.lower().encode().translate(_BLANK).split())
 
 
 def learn(labelled: DataFrame, pieces: int = PIECES) -> dict[str, bytes]:

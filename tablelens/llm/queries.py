@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablelens.llm import decontamination, exact_dedup, language, license_scan, mixing, quality, suffix_dedup, token_counts, toxicity
+from tablelens.llm import decontamination, exact_dedup, jaccard_join, language, license_scan, mixing, quality, suffix_dedup, token_counts, toxicity
 from tablelens.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark, sf_dir):
     return quality.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,5 +48,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_source_mixing, op3_token_counts, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_exact_dedup, op8_quality_classifier, op9_language_id, op10_toxicity)}
-ORACLE = {"op1_license_scan": license_scan.SQL, "op2_source_mixing": mixing.SQL, "op4_benchmark_decontamination": decontamination.SQL, "op5_suffix_array_dedup": suffix_dedup.SQL, "op6_exact_dedup": exact_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_source_mixing, op3_token_counts, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_exact_dedup, op7_jaccard_join, op8_quality_classifier, op9_language_id, op10_toxicity)}
+ORACLE = {"op1_license_scan": license_scan.SQL, "op2_source_mixing": mixing.SQL, "op4_benchmark_decontamination": decontamination.SQL, "op5_suffix_array_dedup": suffix_dedup.SQL, "op7_jaccard_join": jaccard_join.SQL, "op6_exact_dedup": exact_dedup.SQL}
