@@ -34,14 +34,14 @@ def _levels(groups: DataFrame, keys: list[str], total: Column, weight: str, cap:
     sum finds them. One row per source or size class goes in, whatever the number of documents.
     """
     part = Window.partitionBy(*keys)
-    order = part.orderBy((F.col(weight) / cap).desc_nulls_last(), F.col("_tie")).rowsBetween(Window.unboundedPreceding, -1)
+    order = part.orderBy(F.try_divide(F.col(weight), cap).desc_nulls_first(), F.col("_tie")).rowsBetween(Window.unboundedPreceding, -1)
     before_cap, before_weight = F.coalesce(F.sum(cap).over(order), F.lit(0)), F.coalesce(F.sum(weight).over(order), F.lit(0))
     left_weight = F.sum(weight).over(part) - before_weight
     full = (total - before_cap) * F.col(weight) > cap * left_weight
     marked = groups.withColumn("_full", full)
     rest = total - F.coalesce(F.sum(F.when(F.col("_full"), cap)).over(part), F.lit(0))
     rest_weight = F.sum(F.when(~F.col("_full"), F.col(weight))).over(part)
-    share = F.when(F.col("_full"), cap.cast("double")).otherwise(rest * F.col(weight) / rest_weight)
+    share = F.when(F.col("_full"), cap.cast("double")).otherwise(F.try_divide(rest * F.col(weight), rest_weight))
     return marked.withColumn(name, share).drop("_full")
 
 
