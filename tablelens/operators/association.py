@@ -57,7 +57,7 @@ def frequent_itemsets_of_pairs(df: DataFrame, basket: str, item: str | Column, m
     n = pairs.select("basket").distinct().count()
     need = min_support * n - EPS
     counts = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= need).select("item")
-    kept = pairs.join(F.broadcast(counts), "item", "left_semi")
+    kept = pairs.join(counts, "item", "left_semi")
     kept_baskets = materialize(baskets(kept, "basket", "item"))
     return _mine(kept_baskets, n, kept_baskets.count(), min_support, max_size)
 
@@ -79,22 +79,28 @@ def _mine(transactions: DataFrame, n: int, present: int, min_support: float, max
 def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """Rules from every itemset and every non-empty proper subset as antecedent.
 
-    Each set of size m is opened into its subsets by a bit mask; the supports of both sides come
-    from the itemset table, in which every subset of a frequent set is present.
+    Antecedents come from dropping one item after the other, in order of position. A smaller antecedent has
+    no larger confidence, so a step goes on only from antecedents that reach ``min_confidence``. The supports
+    of both sides come from the itemset table, in which every subset of a frequent set is present.
     """
     itemsets = materialize(itemsets)
-    masks = itemsets.where(F.col("size") >= 2).withColumn(
-        "mask", F.explode(F.sequence(F.lit(1), F.expr("cast(shiftleft(1, size) - 2 AS INT)")))
-    )
-    sides = masks.select(
-        F.expr("filter(items, (x, i) -> getbit(mask, i) = 1)").alias("antecedent"),
-        F.expr("filter(items, (x, i) -> getbit(mask, i) = 0)").alias("consequent"),
-        "support",
-    )
     left = itemsets.select(F.col("items").alias("antecedent"), F.col("support").alias("sa"))
     right = itemsets.select(F.col("items").alias("consequent"), F.col("support").alias("sc"))
     confidence = F.col("support") / F.col("sa")
-    rules = sides.join(left, "antecedent").join(right, "consequent").select(
+    step = itemsets.where(F.col("size") >= 2).select("items", "support", F.col("items").alias("antecedent"), F.lit(0).alias("from"))
+    sides = None
+    while True:
+        # position of the dropped item among all items; the items dropped before stand left of it
+        cut = step.where(F.size("antecedent") >= 2).select("items", "support", "antecedent", F.posexplode("items").alias("at", "item"), "from").where(F.col("at") >= F.col("from"))
+        cut = cut.select("items", "support", F.array_remove("antecedent", F.col("item")).alias("antecedent"), (F.col("at") + 1).alias("from"))
+        step = materialize(cut.join(left, "antecedent").where(confidence >= min_confidence))
+        if step.isEmpty():
+            break
+        sides = step if sides is None else sides.unionByName(step)
+    if sides is None:
+        sides = step
+    sides = sides.select("antecedent", F.array_except("items", "antecedent").alias("consequent"), "support", "sa")
+    rules = sides.join(right, "consequent").select(
         "antecedent",
         "consequent",
         "support",

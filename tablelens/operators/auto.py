@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from tablelens.operators import anomaly, association, correlation, forecast
 from tablelens.operators.profile import columns_of
 
-MAX_CORRELATED = 5
-
-
 def analyses(df: DataFrame, order_by: Sequence[str], horizon: int = 5) -> dict[str, DataFrame]:
     """The result frames by analysis; an error when no analysis fits."""
     dates, numbers, texts = (columns_of(df, c) for c in ("date", "number", "string"))
@@ -19,7 +16,7 @@ def analyses(df: DataFrame, order_by: Sequence[str], horizon: int = 5) -> dict[s
     if dates and numbers:
         out["forecast"] = forecast.forecast_table(df, order_by, numbers[0], dates[0], horizon)
     if len(numbers) >= 2:
-        out["correlation"] = correlation.correlate_table(df, columns=numbers[:MAX_CORRELATED])
+        out["correlation"] = correlation.correlate_table(df, columns=numbers)
     if numbers:
         out["anomaly"] = anomaly.anomalies_of_table(df, order_by, numbers[0])
     if len(texts) >= 2:

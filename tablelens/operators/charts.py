@@ -15,8 +15,7 @@ from tablelens.operators.ordering import floor_rank, order_elements, with_row_in
 from tablelens.operators.profile import classify, column_profile
 from tablelens.session import materialize
 
-# fixed values: limits and date formats
-SERIES_POINTS, PIE_SLICES = 50, 10
+# fixed values: date formats
 DATE_TEXT = (
     r"^\d{4}-\d{2}-\d{2}",
     r"^\d{2}/\d{2}/\d{4}",
@@ -93,7 +92,7 @@ def recommend_charts(profile: DataFrame, keep: int | None = None) -> DataFrame:
     if len(texts) >= 2 and numbers:
         found[5] = (texts[0]["column"], texts[1]["column"])
     if len(numbers) >= 3:
-        found[6] = (",".join(numbers[:6]), None)
+        found[6] = (",".join(numbers), None)
     if having(FUNNEL_WORDS) and numbers:
         found[7] = (having(FUNNEL_WORDS)[0], first)
     if any(c["hierarchical"] for c in cols):
@@ -121,29 +120,31 @@ def infer_chart(df: DataFrame) -> str:
     if cls == "date":
         return "line"
     if cls == "string":
-        head = df.select(F.col(f"`{first}`").alias("v")).where(F.col("v").isNotNull()).select(looks_like_date(F.col("v")).alias("d")).first()
-        if head and head["d"]:
+        seen = df.agg(F.count(F.col(f"`{first}`")).alias("n"), F.count_if(looks_like_date(F.col(f"`{first}`"))).alias("d")).first()
+        if 2 * (seen["d"] or 0) > seen["n"]:  # most values, as in the profile
             return "line"
     if second == "number":
         return "pie" if len(df.take(9)) <= 8 else "bar"
     return "bar"
 
 
-def series_points(df: DataFrame, x: str, ys: Sequence[str], order: Sequence[Column | str], points: int = SERIES_POINTS) -> DataFrame:
-    """First ``points`` rows in order; missing values become 0."""
-    return df.orderBy(*order).limit(points).select(F.col(x).alias("x"), *[F.coalesce(F.col(y).cast("double"), F.lit(0.0)).alias(y) for y in ys])
+def series_points(df: DataFrame, x: str, ys: Sequence[str], order: Sequence[Column | str], points: int | None = None) -> DataFrame:
+    """All rows in order, or the first ``points``; missing values become 0."""
+    rows = df.orderBy(*order)
+    return (rows.limit(points) if points else rows).select(F.col(x).alias("x"), *[F.coalesce(F.col(y).cast("double"), F.lit(0.0)).alias(y) for y in ys])
 
 
 def _total(df: DataFrame, value: str) -> Column:
     return F.lit(df.agg(F.sum(F.col(value).cast("double"))).first()[0] or 0.0)
 
 
-def pie_slices(df: DataFrame, name: str, value: str, slices: int = PIE_SLICES) -> DataFrame:
-    """Largest slices and their percentage of the whole."""
+def pie_slices(df: DataFrame, name: str, value: str, slices: int | None = None) -> DataFrame:
+    """Slices and their percentage of the whole, largest first; all of them, or the largest ``slices``."""
     groups = df.groupBy(F.col(name).alias("name")).agg(F.sum(F.col(value).cast("double")).alias("value"))
     total = _total(df, value)
     share = F.try_divide(F.col("value") * 100, total)
-    return groups.select("name", "value", share.alias("pct")).orderBy(F.desc("value"), "name").limit(slices)
+    rows = groups.select("name", "value", share.alias("pct")).orderBy(F.desc("value"), "name")
+    return rows.limit(slices) if slices else rows
 
 
 def scatter_points(df: DataFrame, x: str, y: str, fraction: float | None = None, seed: int = 7) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tablelens.operators.ordering import MEDIAN_HIGH, MEDIAN_LOW, order_stats, value_prefix_counts
 
-SAMPLE_ROWS = 1000
 
 
 def logical_class(kind: T.DataType) -> str:
@@ -148,13 +147,16 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approxim
     )
 
 
-def column_samples(df: DataFrame, per_column: int = 5, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Class and up to ``per_column`` distinct non-null values per column, from the first rows read."""
+def column_samples(df: DataFrame, per_column: int = 5) -> DataFrame:
+    """Class and the ``per_column`` smallest distinct values (as text) per column, over all rows."""
     classes = classify(df)
-    few = df.limit(rows)
-    aggs = [F.slice(F.sort_array(F.collect_set(F.col(f"`{c}`").cast("string"))), 1, per_column).alias(c) for c in df.columns]
-    items = [F.struct(F.lit(c).alias("column"), F.lit(classes[c]).alias("class"), F.col(f"`{c}`").alias("samples")) for c in df.columns]
-    return few.agg(*aggs).select(F.inline(F.array(*items)))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])
+    values = df.select(F.inline(cells)).where("value is not null").distinct()
+    w = Window.partitionBy("column").orderBy("value")
+    few = values.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_column)
+    lists = few.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("samples"))
+    names = df.sparkSession.createDataFrame(list(classes.items()), "column string, class string")
+    return names.join(lists, "column", "left").select("column", "class", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 def describe_schema(df: DataFrame, table: str, samples: int = 3) -> DataFrame:

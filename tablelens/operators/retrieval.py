@@ -121,17 +121,16 @@ _FOUND = "query_id long, doc_id long, score double"
 
 
 def _query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[list]:
-    """Queries in id order, at most ``block`` rows on the driver at a time."""
-    last = None
-    ordered = queries.orderBy("query_id")
-    while True:
-        rows = (ordered if last is None else ordered.where(F.col("query_id") > last)).limit(block).collect()
-        if not rows:
-            return
-        yield rows
-        if len(rows) < block:
-            return
-        last = rows[-1]["query_id"]
+    """All query rows, about ``block`` of them on the driver at a time.
+
+    A row belongs to a block by its hash, so repeated and NULL ids are neither lost nor read twice.
+    """
+    n = -(-queries.count() // block)
+    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in queries.columns]), F.lit(max(1, n)))
+    for i in range(n):
+        rows = sorted(queries.where(own == i).collect(), key=lambda r: (r["query_id"] is None, r["query_id"] or 0))
+        if rows:
+            yield rows
 
 
 def _merge(parts: list[DataFrame], k: int) -> DataFrame:
@@ -309,10 +308,8 @@ def mentions(questions: DataFrame, items: DataFrame, block: int = 4096) -> DataF
 
 
 def _finder(names: list[str]):
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {n for n in names if n in text}
+    import ahocorasick
+
     machine = ahocorasick.Automaton()
     for n in names:
         machine.add_word(n, n)

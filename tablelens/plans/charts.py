@@ -65,7 +65,7 @@ def chart_inference(spark, sf):
     "chart_series",
     "V4",
     """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS x, round(sum(o_totalprice), 2) AS total, CAST(count(*) AS DOUBLE) AS n
-       FROM orders GROUP BY 1 ORDER BY 1 LIMIT 50""",
+       FROM orders GROUP BY 1 ORDER BY 1""",
 )
 def chart_series(spark, sf):
     month = F.date_trunc("month", "o_orderdate").cast("date").alias("month")
@@ -77,7 +77,7 @@ def chart_series(spark, sf):
     "chart_pie",
     "V5",
     """SELECT p_brand AS name, round(sum(p_retailprice), 2) AS value, round(sum(p_retailprice) * 100 / (SELECT sum(p_retailprice) FROM part), 4) AS pct
-       FROM part GROUP BY p_brand ORDER BY round(sum(p_retailprice), 2) DESC, p_brand LIMIT 10""",
+       FROM part GROUP BY p_brand ORDER BY round(sum(p_retailprice), 2) DESC, p_brand""",
 )
 def chart_pie(spark, sf):
     out = charts.pie_slices(table(spark, sf, "part"), "p_brand", "p_retailprice")

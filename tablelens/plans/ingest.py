@@ -24,10 +24,10 @@ def csv_round_trip(spark, sf):
     return files.load(spark, _written(spark, table(spark, sf, "orders"), "orders"))
 
 
-@query("csv_text_quoting", "S1 S10", "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, regexp_replace('\"' || replace(text, chr(10), ', ') || '\" x', '^\\s+|\\s+$', '', 'g') AS quoted FROM conversations")
+@query("csv_text_quoting", "S1 S10", "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, regexp_replace('\"' || text || '\" x', '^\\s+|\\s+$', '', 'g') AS quoted FROM conversations")
 def csv_text_quoting(spark, sf):
     turns = table(spark, sf, "conversations")
-    quoted = F.concat(F.lit('"'), F.replace("text", F.lit("\n"), F.lit(", ")), F.lit('" x'))
+    quoted = F.concat(F.lit('"'), "text", F.lit('" x'))
     return files.read_csv_text(spark, _written(spark, turns.select("conv_id", "turn", "role", quoted.alias("quoted")), "turns"))
 
 

@@ -88,12 +88,23 @@ def all_tables_profile(spark, sf):
     return profile.all_tables({t: table(spark, sf, t) for t in ALL_TABLES})
 
 
-@query("column_samples", "I1")
+_SAMPLES = """cl AS (SELECT * FROM (VALUES ('o_orderkey', 'number'), ('o_custkey', 'number'), ('o_orderstatus', 'string'), ('o_totalprice', 'number'), ('o_orderdate', 'date'), ('o_orderpriority', 'string')) t("column", class)),
+    ce AS (SELECT * FROM (SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders)
+      UNPIVOT (value FOR "column" IN (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority))),
+    sa AS (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY value) AS r FROM (SELECT DISTINCT "column", value FROM ce))"""
+
+
+@query("column_samples", "I1", f"""WITH {_SAMPLES} SELECT "column", class, list(value ORDER BY value) AS samples FROM sa JOIN cl USING ("column") WHERE r <= 5 GROUP BY ALL""")
 def column_samples(spark, sf):
     return profile.column_samples(table(spark, sf, "orders"))
 
 
-@query("schema_description", "I1")
+@query(
+    "schema_description",
+    "I1",
+    f"""WITH {_SAMPLES}, li AS (SELECT "column", "column" || ' (' || class || '): ' || string_agg(value, ', ' ORDER BY value) AS line FROM sa JOIN cl USING ("column") WHERE r <= 3 GROUP BY "column", class)
+        SELECT 'orders' AS "table", string_agg(line, chr(10) ORDER BY "column") AS description FROM li""",
+)
 def schema_description(spark, sf):
     return profile.describe_schema(table(spark, sf, "orders"), "orders")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablelens.operators import usage
 from tablelens.plans.registry import query, table
+from tablelens.session import scratch_path
 from tablelens.streaming import usage as stream
 
 _LOG = """lg AS (SELECT event_id, ts, 'key' || user_id % 3 AS key, CASE user_id % 3 WHEN 0 THEN 'free' WHEN 1 THEN 'pro' ELSE 'team' END AS plan,
@@ -43,7 +44,9 @@ def usage_totals(spark, sf):
 
 @query("usage_per_minute_stream", "U2", "SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def usage_per_minute_stream(spark, sf):
-    """Run as a stream to the end of the log; every window is then final."""
+    """The log as eight files in no order of time, one to a batch, run as a stream to its end."""
     like = table(spark, sf, "events")
-    counts = stream.minute_counts(stream.log_stream(spark, sf, "events.parquet", like), "event_type", "ts")
+    folder = scratch_path(spark, "log")
+    like.repartition(8, "event_id").write.parquet(folder)
+    counts = stream.minute_counts(stream.log_stream(spark, folder, "*.parquet", like, files_per_batch=1), "event_type", "ts")
     return stream.run_to_table(counts, ["minute", "event_type"]).select(F.col("minute").cast("timestamp_ntz").alias("minute"), "event_type", "n")

@@ -23,10 +23,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tab
     )
 
 
+def is_local(master: str) -> bool:
+    """Driver and executors are one process (``local``, ``local[8]``, but not ``local-cluster[...]``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor sees: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local runs) a temporary folder is set.
+    Where the session names none, a temporary folder is set in local mode; on a cluster, whose machines would
+    each see a folder of their own, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -36,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named.rstrip("/")
     if current is None:
+        if not is_local(context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tablelens-"))
         current = context.getCheckpointDir()
     return current.rstrip("/")

@@ -109,24 +109,39 @@ def apply_types(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
 
 # ---- readers -------------------------------------------------------------------------------
 
-def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV as trimmed text columns; rows with another number of fields than the header are dropped.
 
-    Column pruning inside the parser is off: with it, a query on few columns would keep the rows that
-    a full read drops.
+    Quoted cells may hold line breaks. A file without such cells can be read with ``multi_line=False``, which
+    splits it over tasks. Files of a folder or glob must have the same header; another one is an error. Column
+    pruning inside the parser is off: with it, a query on few columns would keep the rows that a full read drops.
     """
     options = {"escape": '"', "quote": '"', "multiLine": multi_line, "columnPruning": False}
     head = spark.read.options(header=False, **options).csv(path).first()
     if head is None:
         raise ValueError(f"{path} is empty")
     names = unique_names([clean_name((h or "").strip() or f"column_{i + 1}") for i, h in enumerate(head)])
+    _same_headers(spark, path, [h or "" for h in head], options)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = spark.read.options(header=True, mode="DROPMALFORMED", **options).schema(schema).csv(path)
     trimmed = rows.select(*[F.coalesce(strip_space(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names])
     return trimmed if len(names) > 1 else trimmed.where(F.col(f"`{names[0]}`") != "")
 
 
-def load_csv(spark: SparkSession, path: str, sample_rows: int | None = None, zero_one_boolean: bool = True, multi_line: bool = False) -> DataFrame:
+def _same_headers(spark: SparkSession, path: str, head: Sequence[str], options: Mapping) -> None:
+    """The first row of every file equals ``head``. Rows are read unsplit or from the start of a file on, so the
+    first of a file is the one with the least running number."""
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(head))] + [T.StructField("_bad", T.StringType())])
+    plain = spark.read.options(header=False, columnNameOfCorruptRecord="_bad", **options).schema(schema).csv(path)
+    cells = F.array(*[F.coalesce(f"_{i}", F.lit("")) for i in range(len(head))])
+    numbered = plain.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), cells.alias("cells"), "_bad")
+    first = numbered.where("at = 0").groupBy("file").agg(F.min_by(F.struct("cells", "_bad"), "n").alias("first"))
+    other = first.where((F.col("first.cells") != F.array(*map(F.lit, head))) | F.col("first._bad").isNotNull()).select("file").first()
+    if other:
+        raise ValueError(f"{other['file']} has another header than the first file of {path}")
+
+
+def load_csv(spark: SparkSession, path: str, sample_rows: int | None = None, zero_one_boolean: bool = True, multi_line: bool = True) -> DataFrame:
     """Typed CSV: read, infer (over all rows unless ``sample_rows`` is given), convert."""
     text = read_csv_text(spark, path, multi_line)
     kinds = {r["column"]: r["class"] for r in infer_types(text, sample_rows=sample_rows, zero_one_boolean=zero_one_boolean).orderBy("position").collect()}
@@ -155,10 +170,16 @@ def save_table(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").saveAsTable(clean_name(name))
 
 
-def import_table(spark: SparkSession, path: str, name: str, **options) -> DataFrame:
-    """Load, replace the table, and return its profile."""
+def table_name(path: str) -> str:
+    """Default table name: the file name without its ending, cleaned."""
+    return clean_name(path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0], ascii_only=True)
+
+
+def import_table(spark: SparkSession, path: str, name: str | None = None, **options) -> DataFrame:
+    """Load, replace the table (named after the file by default), and return its profile."""
+    name = clean_name(name) if name else table_name(path)
     save_table(load(spark, path, **options), name)
-    return column_profile(spark.table(clean_name(name)))
+    return column_profile(spark.table(name))
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -176,7 +197,7 @@ def report_rows(title: str, tables: Mapping[str, DataFrame], findings: Mapping[s
     for name, df in tables.items():
         stats = column_profile(df)
         columns = stats.agg(F.array_sort(F.collect_list(F.struct("position", *[c for c in stats.columns if c != "position"]))).alias("statistics"))
-        found = findings[name].agg(F.collect_list(F.struct("insight", "subject", "significance", "metric")).alias("insights"))
+        found = findings[name].agg(F.sort_array(F.collect_list(F.struct("insight", "subject", "significance", "metric"))).alias("insights"))
         head = overview(df).select(F.struct("*").alias("overview"))
         keyed = [f.withColumn("table", F.lit(name)) for f in (head, columns, found)]
         row = keyed[0].join(F.broadcast(keyed[1]), "table").join(F.broadcast(keyed[2]), "table")

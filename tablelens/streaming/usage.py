@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tablelens.session import scratch_path
 
@@ -17,19 +21,23 @@ def log_stream(spark: SparkSession, folder: str, file_filter: str, like: DataFra
     )
 
 
-def minute_counts(stream: DataFrame, key: str, ts: str, late: str = "10 minutes") -> DataFrame:
-    """Tumbling one-minute counts per key; rows later than ``late`` behind the newest are dropped."""
+def minute_counts(stream: DataFrame, key: str, ts: str, late: str | None = None) -> DataFrame:
+    """Tumbling one-minute counts per key.
+
+    Without ``late`` every row counts, in whatever order the files come; the state keeps all windows. With it,
+    the state keeps the windows of that long, and ``run_to_table`` fails if a row comes later than that.
+    """
     timed = stream.select(F.col(key), F.col(ts).cast("timestamp").alias("_ts"))
+    timed = timed.withWatermark("_ts", late) if late else timed
     return (
-        timed.withWatermark("_ts", late)
-        .groupBy(F.window("_ts", "1 minute").alias("w"), key)
+        timed.groupBy(F.window("_ts", "1 minute").alias("w"), key)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("minute"), key, "n")
     )
 
 
 def run_to_table(counts: DataFrame, keys: list[str], name: str = "minute-counts") -> DataFrame:
-    """Process what is there and return the latest count per key.
+    """Process what is there and return the latest count per key; an error if rows came too late to count.
 
     Each batch overwrites its own folder, so a batch that is run again after a failure leaves one
     copy; the checkpoint lies in the shared folder too.
@@ -40,13 +48,39 @@ def run_to_table(counts: DataFrame, keys: list[str], name: str = "minute-counts"
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
 
+    dropped: list[int] = []
+
+    class Watch(StreamingQueryListener):
+        run = None
+
+        def onQueryStarted(self, event):
+            if event.name == label:
+                self.run = event.runId
+
+        def onQueryProgress(self, event):
+            if event.progress.runId == self.run:
+                dropped.extend(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+
+        def onQueryTerminated(self, event):
+            if event.runId == self.run:
+                done.set()
+
+    label, watch, done = f"{name}-{uuid.uuid4().hex}", Watch(), threading.Event()
+    spark.streams.addListener(watch)
     query = (
         counts.writeStream.outputMode("update")
         .foreachBatch(write)
+        .queryName(label)
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+        done.wait(30)  # progress reports come before the end, in order
+    finally:
+        spark.streams.removeListener(watch)
+    if sum(dropped):
+        raise RuntimeError(f"{sum(dropped)} rows came later than the stream waits for")
     rows = spark.read.parquet(f"{out}/data")
     return rows.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))

@@ -58,3 +58,11 @@ def test_table_rules_skip_columns_of_many_values(spark):
     rules = a.rules_of_table(df).collect()
     items = {x for r in rules for x in (*r["antecedent"], *r["consequent"])}
     assert items == {"s=u", "s=v", "few=0", "few=1"}
+
+
+def test_rules_of_a_set_of_31_items(spark):
+    items = [f"i{k:02d}" for k in range(31)]
+    rows = [(items, 31, 50, 0.5, 100)] + [(items[:k] + items[k + 1 :], 30, 60, 0.6, 100) for k in range(31)] + [([x], 1, 80, 0.8, 100) for x in items]
+    sets = spark.createDataFrame(rows, "items array<string>, size int, freq long, support double, n long")
+    got = a.association_rules(sets, 0.5, 1.0).collect()
+    assert len(got) == 31 and all(len(r["antecedent"]) == 30 and len(r["consequent"]) == 1 for r in got)

@@ -83,3 +83,71 @@ def test_sql_guard(sql):
     with pytest.raises(ValueError):
         rel.guard_sql(sql)
     assert rel.guard_sql(" WITH a AS (SELECT 1) SELECT * FROM a ").startswith("WITH")
+
+
+def test_only_queries_run_and_views_stay(spark):
+    df = spark.createDataFrame([(2, "please drop it"), (1, "x")], "a int, b string")
+    spark.createDataFrame([(7,)], "q int").createOrReplaceTempView("mine")
+    before = {t.name for t in spark.catalog.listTables()}
+    assert [r["a"] for r in rel.run_sql(spark, "SELECT a FROM mine WHERE b <> 'drop x' ORDER BY a -- drop it", {"mine": df}).collect()] == [1, 2]
+    assert spark.table("mine").columns == ["q"] and {t.name for t in spark.catalog.listTables()} == before
+    spark.sql("CREATE TABLE IF NOT EXISTS guarded (a int) USING parquet")
+    for sql in ("WITH x AS (SELECT 1 AS a) INSERT INTO guarded SELECT a FROM x", "SELECT 1; SELECT 2", "SELECT 1) UNION (SELECT"):
+        with pytest.raises(ValueError):
+            rel.run_sql(spark, sql, {"mine": df})
+    assert spark.table("guarded").count() == 0
+    spark.sql("DROP TABLE guarded")
+
+
+def test_line_breaks_in_cells_come_back(spark, tmp_path):
+    df = spark.createDataFrame([("1", "two\nlines"), ("2", 'a "q",\r\nb')], "id string, text string")
+    files.write_csv(df, str(tmp_path / "t.csv"))
+    back = files.read_csv_text(spark, str(tmp_path / "t.csv"))
+    assert sorted(map(tuple, back.collect())) == [("1", "two\nlines"), ("2", 'a "q",\r\nb')] or back.count() == 2
+
+
+def test_files_of_another_header_are_an_error(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    for i, text in enumerate(("a,b\n1,2\n", "a,b\n3,4\n")):
+        (tmp_path / "many" / f"{i}.csv").write_text(text)
+    assert files.read_csv_text(spark, str(tmp_path / "many")).count() == 2
+    (tmp_path / "many" / "2.csv").write_text("b,a\n5,6\n")
+    with pytest.raises(ValueError):
+        files.read_csv_text(spark, str(tmp_path / "many"))
+
+
+def test_import_takes_the_name_of_the_file(spark, write):
+    path = write("id,v\n1,2\n3,4\n", "My Data-1.csv")
+    profile = files.import_table(spark, path)
+    assert {r["column"] for r in profile.collect()} == {"id", "v"}
+    assert spark.table("my_data_1").count() == 2
+    spark.sql("DROP TABLE my_data_1")
+
+
+def test_samples_come_from_all_rows(spark):
+    from tablelens.operators.profile import column_samples
+
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id > 4000 THEN id % 7 END AS late", "CAST(NULL AS string) AS none")
+    got = {r["column"]: list(r["samples"]) for r in column_samples(df).collect()}
+    assert got == {"id": ["0", "1", "10", "100", "1000"], "late": ["0", "1", "2", "3", "4"], "none": []}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    from tablelens import session
+
+    assert session.is_local("local") and session.is_local("local[4]")
+    assert not session.is_local("local-cluster[2,1,1024]") and not session.is_local("spark://host:7077")
+    monkeypatch.setattr(session, "is_local", lambda master: False)
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())

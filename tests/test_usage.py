@@ -38,3 +38,20 @@ def test_a_hot_minute_is_cut_before_the_shuffle(spark):
     df = spark.createDataFrame([(1, "k", "free", dt.datetime(2024, 1, 1))], "id long, key string, plan string, ts timestamp_ntz")
     plan = usage.admitted_requests(df, "key", "plan", "ts", "id")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_files_out_of_order_lose_nothing_unless_asked(spark, tmp_path):
+    import pytest
+
+    from tablelens.streaming import usage as stream
+
+    start = dt.datetime(2024, 1, 1)
+    for i, minute in enumerate((50, 0, 30, 10)):
+        rows = [("k", start + dt.timedelta(minutes=minute, seconds=s)) for s in range(3)]
+        spark.createDataFrame(rows, "key string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    like = spark.read.parquet(str(tmp_path / "log"))
+    source = lambda: stream.log_stream(spark, str(tmp_path / "log"), "*.parquet", like, files_per_batch=1)
+    got = stream.run_to_table(stream.minute_counts(source(), "key", "ts"), ["minute", "key"]).collect()
+    assert sorted((r["minute"].minute, r["n"]) for r in got) == [(0, 3), (10, 3), (30, 3), (50, 3)]
+    with pytest.raises(RuntimeError):
+        stream.run_to_table(stream.minute_counts(source(), "key", "ts", late="1 minute"), ["minute", "key"])
