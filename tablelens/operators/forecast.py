@@ -380,7 +380,10 @@ def choose_models(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def auto_fit(series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Best fit per key: by season, by trend, else the lowest MAPE of the three simpler models."""
+    """Best fit per key: by season, by trend, else the lowest MAPE of the three simpler models.
+
+    A key with fewer than three points has no fit: its row has only the key.
+    """
     keys = list(keys)
     plans = materialize(choose_models(series, keys))
     marked = materialize(attach_stats(series.select(*keys, "idx", "value"), plans, keys))
@@ -407,10 +410,11 @@ def auto_fit(series: DataFrame, keys: Sequence[str]) -> DataFrame:
         names = [c for c in tried.columns if c not in keys]
         best = tried.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct("mape", rank.alias("r"))).alias("b"))
         fits.append(best.select(*keys, "b.*"))
-    out = fits[0]
+    out = fits[0] if fits else moving_average(series.where(F.lit(False)).select(*keys, "idx", "value"), keys)
     for more in fits[1:]:
         out = out.unionByName(more)
-    return out
+    short = equi_join(series.select(*keys).distinct(), plans.select(*keys), keys, "left_anti") if keys else None
+    return out if short is None or short.isEmpty() else out.unionByName(short, allowMissingColumns=True)
 
 
 def forecast_report(fits: DataFrame, horizon: int = 5, level: float = 0.95, keys: Sequence[str] = ()) -> DataFrame:

@@ -4,72 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelens.session import materialize
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
-HOT_SHARE = 1000
 GROUP_LIMIT = 1000  # Spark's default threshold for limits inside windows
 
 
-def estimated_bytes(df: DataFrame) -> tuple[int, int]:
-    """Row count and a width-based size of ``df`` (variable-width columns are measured)."""
-    fixed = 0
-    measured: list[Column] = []
-    for field in df.schema.fields:
-        kind = field.dataType
-        if isinstance(kind, (T.StringType, T.BinaryType)):
-            measured.append(F.length(F.col(field.name)))
-        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-            measured.append(F.length(F.to_json(F.struct(F.col(field.name)))))
-        else:
-            fixed += 8
-    width = sum((F.coalesce(m, F.lit(0)) for m in measured), F.lit(fixed + 16))
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("long")).alias("bytes")).first()
-    return row["n"], row["bytes"] or 0
-
-
-def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than 1/``share`` of the rows: at most ``share`` rows."""
-    counts = materialize(df.groupBy(*on).agg(F.count(F.lit(1)).alias("_cnt")))
-    total = counts.agg(F.sum("_cnt")).first()[0] or 0
-    return counts.where(F.col("_cnt") * share > total).select(*on)
-
-
-def equi_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
-    """Join in which a NULL key matches a NULL key, as in grouping. ``small`` broadcasts ``right``."""
+def equi_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which a NULL key matches a NULL key, as in grouping."""
     renamed = right.select(*[F.col(f"`{c}`").alias(f"_right_{c}") if c in on else F.col(f"`{c}`") for c in right.columns])
     condition = None
     for c in on:
         same = left[c].eqNullSafe(renamed[f"_right_{c}"])
         condition = same if condition is None else condition & same
-    out = left.join(F.broadcast(renamed) if small else renamed, condition, how)
-    return out.drop(*[f"_right_{c}" for c in on])
+    return left.join(renamed, condition, how).drop(*[f"_right_{c}" for c in on])
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi-join that spreads the hot keys of ``big`` over several tasks.
+def join_stats(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join per-key statistics to the rows.
 
-    Only hot keys are salted, and only their rows are repeated on the other side. The salt is a
-    hash of the row, so a recomputed task places its rows as before.
+    The statistics are written first. Spark then knows their size and sends them to the tasks only if they are
+    small; otherwise both sides of the join are plain shuffles, of which it can split the large partitions of a
+    hot key. A grouping by the same key inside the join would forbid that.
     """
-    on = list(on)
-    hot = materialize(hot_keys(big, on).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c in big.columns]), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    left = equi_join(big, hot, on, "left", small=True).withColumn("_salt", salt).drop("_hot")
-    last = F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)).cast("long")
-    right = equi_join(small, hot, on, "left", small=True).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_hot")
-    return equi_join(left, right, [*on, "_salt"], how).drop("_salt")
-
-
-def join_stats(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join per-key statistics to the rows: broadcast when measured small, salted otherwise."""
-    small = materialize(small)
-    if estimated_bytes(small)[1] <= BROADCAST_BYTES:
-        return equi_join(big, small, list(on), how, small=True)
-    return salted_join(big, small, on, how)
+    return equi_join(big, materialize(small), list(on), how)
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:

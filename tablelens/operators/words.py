@@ -12,7 +12,6 @@ from tablelens.operators.joins import join_stats
 from tablelens.operators.ordering import value_prefix_counts
 from tablelens.session import materialize
 
-PHRASE_CATEGORIES = ("abbreviations", "compound_nouns")
 
 
 # ---- rules ---------------------------------------------------------------------------------

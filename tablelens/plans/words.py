@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablelens.functions.lexicon import built_in_rules, rules_frame
+from tablelens.functions.lexicon import IE_WORDS, built_in_rules, rules_frame
 from tablelens.operators import words as w
 from tablelens.plans.registry import query, table
 from tablelens.session import spread
@@ -25,7 +25,7 @@ def _doubled(n: int) -> str:
 
 
 _C = "[bcdfghjklmnpqrstvwxyz]"
-_IE = "'cookie','brownie','calorie','collie','zombie','birdie','pixie','magpie','sortie','prairie','boogie','movie','smoothie','beanie','genie','goalie','hoodie','junkie','pinkie','rookie','selfie','veggie','caddie','dearie','eerie','foodie','groupie','hippie','lassie','meanie','mountie','nappie','oldie','reverie','roomie','sweetie','techie','yuppie','auntie'"
+_IE = ",".join(f"'{w}'" for w in IE_WORDS if len(w) > 4)
 
 
 def suffix_sql() -> str:
@@ -128,11 +128,6 @@ def corpus_word_table(spark, sf):
     return w.word_table(_docs(spark, sf), rules_frame(spark))
 
 
-@query("rule_summary", "T5", f"WITH {RULES_SQL} SELECT category, count(*) AS n FROM rules GROUP BY category")
-def rule_summary(spark, sf):
-    return w.rules_summary(w.effective_rules(rules_frame(spark)))
-
-
 def _part_rules(spark, sf):
     parts = table(spark, sf, "part").select(F.lit("compound_nouns").alias("category"), F.upper("p_name").alias("key"), F.col("p_name").alias("value"))
     types = table(spark, sf, "part").select(F.lit("spelling_variants").alias("category"), F.lower("p_type").alias("key"), F.lit("kind").alias("value"))
@@ -149,6 +144,11 @@ def rule_overlay(spark, sf):
     return w.effective_rules(rules_frame(spark), _part_rules(spark, sf))
 
 
+@query("rule_summary", "T5", f"{_OVERLAY} SELECT category, count(*) AS n FROM eff GROUP BY category")
+def rule_summary(spark, sf):
+    return w.rules_summary(rule_overlay(spark, sf))
+
+
 @query("rule_removal", "T5", f"{_OVERLAY} SELECT category, count(*) AS n FROM eff WHERE NOT (category = 'compound_nouns' AND key IN (SELECT lower(p_name) FROM part WHERE p_size > 25)) GROUP BY category")
 def rule_removal(spark, sf):
     gone = table(spark, sf, "part").where(F.col("p_size") > 25).select(F.lit("compound_nouns").alias("category"), F.col("p_name").alias("key"))
@@ -176,8 +176,7 @@ def _entries(spark, sf):
 
 
 _CLEAN = "lower(regexp_replace({0}, '[^a-zA-Z]', '', 'g'))"
-_ABBR = "'^([a-zA-Z]+)\\s*\\(?=\\s*(.+?)\\)?\\s*$'"
-_VAR = "'^([a-zA-Z]+(?:\\s+[a-zA-Z]+)*)\\s*\\(([^=][^)]*)\\)\\s*\\**\\s*$'"
+_ABBR, _VAR = f"'{w.ABBREVIATION_ENTRY}'", f"'{w.VARIANT_ENTRY}'"
 _PARSE = f"""{_ENTRY_SQL}, pe AS (SELECT id, entry, CASE WHEN regexp_matches(entry, {_ABBR}) THEN lower(regexp_extract(entry, {_ABBR}, 1)) END AS abbreviation,
       {_CLEAN.format(f'regexp_extract(entry, {_VAR}, 1)')} AS prim,
       CASE WHEN regexp_matches(entry, {_VAR}) THEN list_filter(list_transform(string_split_regex(regexp_extract(entry, {_VAR}, 2), '[,，]\\s*'),

@@ -89,25 +89,31 @@ def test_series_blocks_carry_the_rows_before(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, df, how):
+def test_statistics_join_null_keys_too(spark, df, rows, how):
     small = spark.createDataFrame([("hot", 1.0), ("k3", 2.0), (None, 3.0)], "k string, w double")
-    got = joins.salted_join(df, small, ["k"], how)
-    want = joins.equi_join(df, small, ["k"], how)
-    assert got.columns == want.columns
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-
-
-def test_hot_key_rows_are_spread(spark, df):
-    hot = {r["k"] for r in joins.hot_keys(df, ["k"], share=5).collect()}
-    assert hot == {"hot"}
-
-
-def test_large_statistics_take_the_salted_way(spark, df, monkeypatch):
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
-    stats = df.groupBy("k").agg(F.count("*").alias("c"))
-    got = joins.join_stats(df, stats, ["k"])
-    assert got.count() == df.count()
-    assert got.where("c is null").count() == 0
+    got = [r.asDict() for r in joins.join_stats(df, small, ["k"], how).collect()]
+    known = {"hot": 1.0, "k3": 2.0, None: 3.0}
+    want = [r for r in rows if how == "left" or (r[0] in known) == (how != "left_anti")]
+    assert sorted((r["id"], r.get("w")) for r in got) == sorted((i, known.get(k) if how in ("left", "inner") else None) for k, i, _ in want)
+
+
+def test_a_key_with_most_rows_is_split(spark):
+    """Nine of ten rows are equal; no task of the join reads more than a small part of them."""
+    rows = spark.range(0, 40_000, 1, 8).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), F.lit("x" * 50).alias("v"))
+    small = rows.groupBy("k").agg(F.count("*").alias("n"))
+    options = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        joined = joins.join_stats(rows, small, ["k"]).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in joined.where("k = 'hot'").groupBy("task").count().collect()]
+    finally:
+        for k in options:
+            spark.conf.unset(k)
+    assert sum(sizes) == 36_000 and max(sizes) <= 9_000
 
 
 def test_top_k_cuts_before_the_shuffle(df):
