@@ -35,6 +35,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = light.groupBy("_hash").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_keep"), F.min_by("_norm", F.coalesce("_id", F.lit(2**63 - 1))).alias("_first")
     ).select(F.col("_hash").alias("_key"), "_n", "_keep", F.when(F.col("_n") > 1, F.col("_first")).alias("_first"))
+    # written first: the join below then has two plain sides, and its large partitions can be split
+    groups = materialize(groups)
     rows = with_whole_rows(docs, F.col(f"`{id_col}`").alias("_id"), text.alias("_norm"))
     rows = rows.select("_row", "_id", "_norm", digest(F.col("_norm")).alias("_hash"))
     met = rows.join(groups, F.col("_hash") == F.col("_key")).withColumn("_same", F.col("_first").isNull() | (F.col("_first") == F.col("_norm")))
