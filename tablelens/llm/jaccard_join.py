@@ -29,7 +29,7 @@ SIZE = 5
 PERCENT = 75
 HOT = 64  # lists longer than this are frequent
 HOT_LIMIT = 1_000_000  # frequent shingles sent to the tasks: 8 MB at most; the bar is raised until they fit
-ROUNDS = 5
+ROUNDS = 3
 BLOCK = 4096  # sets of a cluster in one task
 LEAF = 8
 SHARD = 1 << 23
@@ -47,19 +47,44 @@ def set_ids(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64))
 
 
-def prefix_mask(values: np.ndarray, at: np.ndarray, hot: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Which values are in the prefix of their row, and which are hot. Rows come sorted by hash."""
+class Frequent:
+    """Frequent shingles, sorted, and their places in the order: the rarest first."""
+
+    def __init__(self, values: np.ndarray, counts: np.ndarray):
+        order = np.argsort(values)
+        self.values = values[order]
+        self.rank = np.empty(len(values), np.int64)
+        self.rank[np.lexsort((self.values, counts[order]))] = np.arange(len(values))
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which values are frequent, and the places of these."""
+        if not len(self.values) or not len(values):
+            return np.zeros(len(values), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.values, values), len(self.values) - 1)
+        hit = self.values[at] == values
+        return hit, self.rank[at[hit]]
+
+
+NONE = Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def prefix_mask(values: np.ndarray, at: np.ndarray, frequent: Frequent, percent: int = PERCENT, stretch: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are in the prefix of their row, and which are hot. Rows come sorted by hash; hot values stand
+    behind the others of their row, the rarest first. Prefixes of rows with hot values are ``stretch`` times as long."""
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
     length = n - -(-percent * n // 100) + 1
-    is_hot = np.zeros(len(values), bool)
-    if len(hot) and len(values):
-        is_hot = hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values
+    is_hot, rank = frequent.find(values)
     cool_before = np.concatenate(([0], np.cumsum(~is_hot)))
     hot_before = np.arange(len(values) + 1) - cool_before
+    length = np.where(np.diff(hot_before[at]) > 0, stretch, 1) * length
     first = at[:-1][row]
     cool = np.diff(cool_before[at])[row] if len(n) else row
-    place = np.where(is_hot, cool + hot_before[:-1] - hot_before[first], cool_before[:-1] - cool_before[first])
+    place = cool_before[:-1] - cool_before[first]
+    if len(rank):
+        hot_at = np.flatnonzero(is_hot)
+        order = hot_at[np.lexsort((rank, row[hot_at]))]
+        place[order] = cool[order] + np.arange(len(order)) - hot_before[first[order]]
     return place < length[row], is_hot
 
 
@@ -79,34 +104,41 @@ def light_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, n long, sid long")
 
 
-def frequent_shingles(docs: DataFrame, percent: int, hot: int) -> np.ndarray:
-    """Shingles in more than ``hot`` prefixes, sorted. They only order the prefixes: any set gives right results.
+def frequent_shingles(docs: DataFrame, percent: int, hot: int) -> Frequent:
+    """Shingles in more than ``hot`` prefixes. They only order the prefixes: any set gives right results.
 
-    Moving them last lengthens prefixes, which can bring up others; the shingles that a round adds are counted
-    in the next one.
+    Moving them last lengthens prefixes, which can bring up others, so the next round counts further into the texts
+    that have frequent shingles.
+    Every round also counts the known ones in all documents, which puts the rarest of them first: a family of
+    copies then meets by its own shingles and not by a passage that it shares with others.
     """
-    known, before = np.zeros(0, np.uint64), None
-    for _ in range(ROUNDS):
-        def run(batches, known=known, before=before) -> Iterator[pa.RecordBatch]:
+    known, before, counts = NONE, None, {}
+    for level in range(ROUNDS):
+        def run(batches, known=known, before=before, reach=2**level) -> Iterator[pa.RecordBatch]:
             for _, values, at in _sets(batches):
-                mask, is_hot = prefix_mask(values, at, known, percent)
+                mask, is_hot = prefix_mask(values, at, known, percent, reach)
                 mask &= ~is_hot
                 if before is not None:
-                    mask &= ~prefix_mask(values, at, before, percent)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(values[mask].view(np.int64))], names=["h"])
+                    mask &= ~prefix_mask(values, at, before, percent, reach // 2)[0]
+                again, times = np.unique(values[is_hot], return_counts=True)
+                both, n = np.concatenate((values[mask], again)), np.concatenate((np.ones(mask.sum(), np.int64), times))
+                yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(n)], names=["h", "c"])
 
-        counts = materialize(docs.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot))
+        found = materialize(docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > hot))
         bar = hot
-        while counts.where(F.col("c") > bar).count() + len(known) > HOT_LIMIT:
+        while found.where(F.col("c") > bar).count() > HOT_LIMIT:
             bar *= 2
-        new = counts.where(F.col("c") > bar).toPandas()["h"].to_numpy().view(np.uint64)
-        if not len(new):
+        got = found.where(F.col("c") > bar).toPandas()
+        fresh = len(set(got["h"]) - set(counts))
+        counts |= dict(zip(got["h"], got["c"]))
+        before = known
+        known = Frequent(np.array(list(counts), np.int64).view(np.uint64), np.array(list(counts.values()), np.int64))
+        if not fresh:
             break
-        before, known = known, np.union1d(known, new)
     return known
 
 
-def _postings(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+def _postings(docs: DataFrame, frequent: Frequent, percent: int) -> DataFrame:
     """``h, sid, n, heat``: prefix shingles of every set; ``heat`` is twice the number of hot ones in the prefix, plus
     1 if this is one. Equal sets of a shard are sent once."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -149,7 +181,8 @@ def _candidates(postings: DataFrame, percent: int, hot: int) -> DataFrame:
     """``a, b, c, need`` rows, one per shared shingle, and with ``need = -1`` the members ``(h, sid, n)`` of hot lists.
 
     ``c`` counts towards the overlap of two prefixes. Beyond the prefix of ``x`` there are ``|x| - p`` more shingles,
-    so a linked pair shares at least ``need`` that are not hot.
+    so a linked pair shares at least ``need`` that are not hot. The members of a long hot list are chained to their
+    neighbours in size, which puts them all into one cluster (a gap in sizes that no link can cross may part them).
     """
     placed = postings.repartition("h").sortWithinPartitions("h", "n", "sid")
 
@@ -169,9 +202,10 @@ def _candidates(postings: DataFrame, percent: int, hot: int) -> DataFrame:
             i, j = i[fit], j[fit]
             need = needed_overlap(n[i], n[j], percent) - np.maximum(rest[i], rest[j]) - np.minimum(heat[i] // 2, heat[j] // 2)
             first = np.minimum(sid[i], sid[j])
+            need = np.maximum(need, 0) if whole else np.zeros(len(i), np.int64)
             for k in range(0, len(i), 200_000):
                 s = slice(k, k + 200_000)
-                yield _rows(first[s], np.maximum(sid[i], sid[j])[s], np.full(len(first[s]), int(whole)), np.maximum(need[s], 0))
+                yield _rows(first[s], np.maximum(sid[i], sid[j])[s], np.full(len(first[s]), int(whole)), need[s])
         for b, m in zip(begin, length):
             if heat[b] % 2 == 1 and m > hot:
                 yield _rows(h[b : b + m], sid[b : b + m], n[b : b + m], np.full(m, -1))
@@ -295,36 +329,39 @@ def _with_components(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return ends.where("ca <> cb")
 
 
-def _hot_pairs(members: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Unconnected pairs of hot lists that are near in size: what stands outside the largest group of a list, against
-    the list. Sizes are joined by classes of ratio 3/4, so that far sizes do not meet."""
-    named = members.join(comps.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    named = materialize(named)
+def _hot_pairs(members: DataFrame, homes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Unconnected pairs of hot lists from different parts of a cluster that are near in size: what lies outside the
+    largest group of a list, against the list. Sizes meet by classes of ratio 3/4, so that far sizes do not."""
+    named = members.join(homes.withColumnRenamed("id", "sid"), "sid").join(comps.withColumnRenamed("id", "sid"), "sid", "left")
+    named = materialize(named.withColumn("component", F.coalesce("component", "sid")))
     groups = named.groupBy("h", "component").agg(F.count(F.lit(1)).alias("m"))
     largest = groups.groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     named = materialize(named.join(largest, "h"))
     step = float(np.log(100 / percent))
     klass = F.floor(F.log(F.col("n").cast("double")) / step)
-    outside = named.where("component <> main").select("h", F.col("sid").alias("s"), F.col("n").alias("ns"), F.col("component").alias("cs"), F.explode(F.array(klass - 1, klass, klass + 1)).alias("k"))
-    inside = named.select("h", "sid", "n", "component", klass.alias("k"))
+    outside = named.where("component <> main").select("h", F.col("sid").alias("s"), F.col("n").alias("ns"), F.col("component").alias("cs"), F.col("part").alias("ps"), F.explode(F.array(klass - 1, klass, klass + 1)).alias("k"))
+    inside = named.select("h", "sid", "n", "component", "part", klass.alias("k"))
     near = 100 * F.least("n", "ns") >= percent * F.greatest("n", "ns")
-    met = inside.join(outside, ["h", "k"]).where((F.col("component") != F.col("cs")) & near)
+    met = inside.join(outside, ["h", "k"]).where((F.col("component") != F.col("cs")) & (F.col("part") != F.col("ps")) & near)
     return met.select(F.least("s", "sid").alias("a"), F.greatest("s", "sid").alias("b")).distinct()
 
 
+def _part_pairs(pairs: DataFrame, homes: DataFrame) -> DataFrame:
+    one, two = (homes.select(F.col("id").alias(e), F.col("part").alias(f"p{e}")) for e in "ab")
+    return pairs.join(one, "a").join(two, "b").where("pa <> pb").select("a", "b")
+
+
 def set_components(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """``id, component`` of the sets that are linked with another one; ``docs(key, _text)``, ``sets(key, n, sid)``."""
     frequent = frequent_shingles(docs, percent, hot)
     rows = _candidates(_postings(docs, frequent, percent), percent, hot)
     # one row per pair and list; pairs are combined before the shuffle
-    met = materialize(rows.groupBy("a", "b", F.when(F.col("need") < 0, F.col("c")).alias("n")).agg(F.sum("c").alias("c"), F.max("need").alias("need")))
+    met = materialize(rows.groupBy("a", "b", F.when(F.col("need") < 0, F.col("c")).alias("n")).agg(F.sum("c").alias("c"), F.min("need").alias("need")))
     members = met.where("n is not null").select(F.col("a").alias("h"), F.col("b").alias("sid"), "n")
     pairs = materialize(met.where("n is null and c >= need").select("a", "b"))
-    clusters = components(pairs).withColumnRenamed("component", "cluster")
-    alone = members.select(F.col("sid").alias("id")).distinct().join(clusters, "id", "left_anti").withColumn("cluster", F.col("id"))
-    clusters = materialize(clusters.unionByName(alone))
+    clusters = materialize(components(pairs).withColumnRenamed("component", "cluster"))
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    placed = clusters.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    placed = materialize(clusters.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))))
     keys = sets.groupBy("sid").agg(F.min("key").alias("key"))
     wanted = keys.join(placed, F.col("sid") == F.col("id")).select("key", "sid", "cluster", "part")
 
@@ -338,8 +375,11 @@ def set_components(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, hot
     full = materialize(texts.mapInArrow(shingles, "sid long, cluster long, part long, shingles array<long>").withColumn("shingles", F.array_sort("shingles")))
     links = materialize(_tree_links(full, percent))
     comps = components(links)
-    # what the clusters' parts and the long lists left open: first one pair for two groups, then all
-    open_pairs = pairs.unionByName(_hot_pairs(members, comps, percent)).distinct()
+    homes = placed.where("parts > 1").select("id", "part")
+    if homes.isEmpty():  # no cluster was split: every candidate pair has been judged
+        return comps
+    # pairs between the parts of a split cluster: first one for two groups, then all that are left
+    open_pairs = materialize(_part_pairs(pairs, homes).unionByName(_hot_pairs(members, homes, comps, percent)).distinct())
     for every in (False, True):
         left = _with_components(open_pairs, comps)
         if not every:
@@ -348,8 +388,6 @@ def set_components(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, hot
         if not more.isEmpty():
             links = links.unionByName(more)
             comps = components(links)
-        elif not every:
-            continue
     return comps
 
 
