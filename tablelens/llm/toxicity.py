@@ -132,8 +132,9 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     hashed = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 40))
     bound = F.coalesce(*[F.when(F.col("_y") == y, F.lit(int(min(1.0, SAMPLE / n) * (1 << 40)))) for y, n in counts.items()])
     picked = marked.where(hashed < bound).dropDuplicates(["_id"])
+    # the picked ids are bounded by the sample size, so the texts need no shuffle
     texts = docs.select(F.col(f"`{id_col}`").alias("_doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    rows = texts.join(picked, F.col("_doc") == F.col("_id")).select("_text", F.col("_y").cast("int").alias("_y"))
+    rows = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_text", F.col("_y").cast("int").alias("_y"))
 
     def least(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
