@@ -123,10 +123,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     hashed = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 40))
     bound = F.coalesce(*[F.when(F.col("_y") == y, F.lit(int(min(1.0, SAMPLE / n) * (1 << 40)))) for y, n in counts.items()])
     picked = marked.withColumn("_h", hashed).where(F.col("_h") < bound).dropDuplicates(["_id"])
+    # the picked ids are bounded by the sample size, so the texts need no shuffle
     texts = docs.select(F.col(f"`{id_col}`").alias("_doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     data = F.encode("_text", "utf-8")
     places = [F.pmod(F.col("_h") if k == 0 else F.shiftright("_h", 16), F.greatest(F.length("_data") - CHUNK, F.lit(0)) + 1) for k in range(2)]
-    rows = texts.join(picked, F.col("_doc") == F.col("_id")).select("_y", "_h", data.alias("_data"))
+    rows = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_y", "_h", data.alias("_data"))
     rows = rows.select("_y", "_h", *[F.substring("_data", (p + 1).cast("int"), F.lit(CHUNK)).alias(f"_c{k}") for k, p in enumerate(places)])
     got = sorted(rows.collect(), key=lambda r: (r["_h"], r["_y"], bytes(r["_c0"])))
     if not got:
