@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tablelens.session import materialize
 
 SPACES = [0x20, *range(0x09, 0x0E)]
-SEGMENT = 1 << 21  # bytes whose temporary arrays are held at once
-SHARD = 1 << 22  # bytes of text handed to one call of a kernel
+SEGMENT = 1 << 19  # bytes whose temporary arrays are held at once
+SHARD = 1 << 21  # bytes of text handed to one call of a kernel
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 

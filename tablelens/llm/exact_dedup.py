@@ -76,7 +76,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=content_hash) -> DataFrame:
     """The kept rows with all their columns. Of rows with equal id and text any one stays."""
-    met = materialize(duplicate_groups(docs, id_col, text_col, digest))
+    found = duplicate_groups(docs, id_col, text_col, digest)
+    # the smallest id of a hash has the group's first text, so rows that share it need not be written
+    met = materialize(found.where(~F.col("_same") | F.col("_id").eqNullSafe(F.col("_keep"))))
     kept = _resolved(met).where(F.col("_id").eqNullSafe(F.col("keep_id")))
     return kept.dropDuplicates(["_id", "text_sha256"]).select("_row.*")
 

@@ -32,7 +32,7 @@ HOT_LIMIT = 1_000_000  # frequent shingles sent to the tasks: 8 MB at most; the
 ROUNDS = 3
 BLOCK = 4096  # sets of a cluster in one task
 LEAF = 8
-SHARD = 1 << 23
+SHARD = 1 << 21
 _TOP = np.uint64(1 << 63)
 
 
@@ -398,7 +398,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """``_row, doc_id, n_shingles, component_id, key`` per row of ``docs``.
+    """``doc_id, key, n_shingles, component_id, group`` per row of ``docs``; ``key`` stands for id and text, ``group`` for
+    the component, also where no row of it has an id.
 
     NULL, empty and blank texts have no shingles and are linked with nothing: their component is their own id.
     Texts of fewer than five words have one shingle. Rows with NULL ids take part; a component of only such rows
@@ -408,7 +409,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = keyed.select("key", "_text")
     sets = materialize(light_sets(slim)).dropDuplicates(["key"])
     comps = set_components(slim, sets.where("n > 0"), percent, hot, block)
-    ids = keyed.select("_row", "doc_id", "key").join(sets, "key")
+    ids = materialize(keyed.select("doc_id", "key").join(sets, "key"))
     return _labelled(ids, comps)
 
 
@@ -416,9 +417,9 @@ def _labelled(ids: DataFrame, comps: DataFrame) -> DataFrame:
     node = ids.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("_low"))
     node = node.join(comps, F.col("sid") == F.col("id"), "left").withColumn("_c", F.coalesce("component", "sid"))
     lowest = node.groupBy("_c").agg(F.min("_low").alias("_first"))
-    named = materialize(node.join(lowest, "_c").select(F.col("sid").alias("_sid"), "_first"))
+    named = materialize(node.join(lowest, "_c").select(F.col("sid").alias("_sid"), "_first", "_c"))
     met = ids.join(named, F.col("sid") == F.col("_sid"), "left")
-    return met.select(*[c for c in ids.columns if c not in ("n", "sid")], F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_first")).otherwise(F.col("doc_id")).alias("component_id"))
+    return met.select(*[c for c in ids.columns if c not in ("n", "sid")], F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_first")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("_c", "key").alias("group"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -428,11 +429,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The row with the smallest id of every component, with all its columns; of equal ids the first by text key."""
+    """The row with the smallest id of every component, with all its columns; of equal or NULL ids the first by text key."""
     rows = near_duplicates(docs, id_col, text_col, percent)
     kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = materialize(kept.groupBy("doc_id").agg(F.min("key").alias("_k")))
-    met = kept.join(first, kept["doc_id"].eqNullSafe(first["doc_id"]) & (F.col("key") == F.col("_k")), "left_semi")
+    keys = materialize(kept.groupBy("group").agg(F.min("key").alias("key")).select("key").distinct())
+    met = _keyed(docs, id_col, text_col).select("_row", "key").join(keys, "key", "left_semi")
     return met.dropDuplicates(["key"]).select("_row.*")
 
 
