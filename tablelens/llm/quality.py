@@ -122,7 +122,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     hashed = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 40))
     bound = F.coalesce(*[F.when(F.col("_y") == y, F.lit(int(min(1.0, SAMPLE / n) * (1 << 40)))) for y, n in counts.items()])
-    picked = marked.withColumn("_h", hashed).where(F.col("_h") < bound).dropDuplicates(["_id"])
+    # of labels that contradict each other the lower one counts
+    picked = marked.where(hashed < bound).groupBy("_id").agg(F.min("_y").alias("_y")).withColumn("_h", hashed)
     # the picked ids are bounded by the sample size, so the texts need no shuffle
     texts = docs.select(F.col(f"`{id_col}`").alias("_doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     data = F.encode("_text", "utf-8")
