@@ -70,12 +70,15 @@ def template_weights(counts: dict[str, int], total: int, templates=TEMPLATES) ->
     return idf, vectors
 
 
-def anchors(vectors: list[dict[str, float]], threshold: float) -> set[str]:
-    """Words of which every part with cosine >= ``threshold`` has one: the rest of a template is too short a vector."""
+def anchors(idf: dict[str, float], vectors: list[dict[str, float]], threshold: float) -> set[str]:
+    """Words of which every part with cosine >= ``threshold`` has one: the rest of a template is too short a vector.
+
+    The rarest words are taken first, so that few other lines have one.
+    """
     out: set[str] = set()
     for vector in vectors:
         rest = 1.0
-        for w, x in sorted(vector.items(), key=lambda p: (-p[1], p[0])):
+        for w, x in sorted(vector.items(), key=lambda p: (-idf[p[0]], -p[1], p[0])):
             if rest < threshold * threshold * 0.999:
                 break
             out.add(w)
@@ -110,7 +113,7 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     total = files.count()
     idf, vectors = template_weights(counts, total, templates)
     unseen = template_weights({}, total, (("", "x"),))[0]["x"]
-    parts = _parts(files, anchors(vectors, threshold))
+    parts = _parts(files, anchors(idf, vectors, threshold))
     words = parts.select("_k1", "_k2", "_part", F.explode(_words(F.col("_text"))).alias("_word"))
     counted = words.groupBy("_k1", "_k2", "_part", "_word").agg(F.count(F.lit(1)).alias("_tf"))
     weights = spark.createDataFrame([(w, float(x)) for w, x in idf.items()], "w string, idf double")

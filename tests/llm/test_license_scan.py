@@ -35,7 +35,7 @@ def test_own_and_inherited(spark):
 def test_lines_without_an_anchor_cannot_reach_the_threshold():
     counts = {"the": 90, "of": 80, "license": 3, "work": 40}
     idf, vectors = ls.template_weights(counts, 100)
-    anchors = ls.anchors(vectors, ls.THRESHOLD)
+    anchors = ls.anchors(idf, vectors, ls.THRESHOLD)
     for v in vectors:
         assert math.sqrt(sum(x * x for w, x in v.items() if w not in anchors)) < ls.THRESHOLD
         assert math.isclose(sum(x * x for x in v.values()), 1)
