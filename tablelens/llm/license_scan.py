@@ -1,9 +1,9 @@
 """License scan: sparse TF-IDF cosine of file parts to licence templates, then inheritance down the directories.
 
-Every line of every text, and every run of neighbouring candidate lines, is compared with the templates. The words
-of a template that carry most of its weight are its anchors: a line without an anchor cannot reach the threshold,
-so dropping such lines loses nothing. A file without a licence of its own takes that of the licence file in the
-nearest directory above it.
+Every line of every text, every run of neighbouring candidate lines, and for each template every window of as many
+words as it has, across line breaks, is compared with the templates. The words of a template that carry most of its
+weight are its anchors: a part without an anchor cannot reach the threshold, so dropping such parts loses nothing. A
+file without a licence of its own takes that of the licence file in the nearest directory above it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from tablelens.session import materialize
 
 THRESHOLD = 0.6
 WORD_GAP = "[^a-z0-9]+"
+BLOCK = 256  # first words of windows that one row holds; the windows reach into the words after them
 
 # fixed values: wording of common licence statements, and names of licence files
 TEMPLATES = (
@@ -100,6 +101,46 @@ def _parts(files: DataFrame, anchor_words: set[str]) -> DataFrame:
     return found.select("_k1", "_k2", F.col("at").alias("_part"), F.col("line").alias("_text")).unionByName(several)
 
 
+def _window_scores(files: DataFrame, idf: dict[str, float], vectors: list[dict[str, float]], unseen: float, threshold: float, templates) -> DataFrame:
+    """``_k1, _k2, _name, _score`` of the nearest window for each template and block of words.
+
+    The windows of a template have as many words as it has; a shorter text is one window. A cosine is at most the
+    length of the template's vector over the words that both have: blocks and windows below that are left out.
+    """
+    sizes = [len(words_of(text)) for _, text in templates]
+    bound, reach = threshold * threshold * 0.999, BLOCK + max(sizes) - 1
+    table = lambda v: F.create_map(*[F.lit(x) for w, y in v.items() for x in (w, float(y))])
+    given = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(n).alias("n"), table(v).alias("y")) for (name, _), n, v in zip(templates, sizes, vectors)])
+    weight = table(idf)
+    shared = lambda y, words: F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(y[w] * y[w], F.lit(0.0)))
+
+    def cosine(window: Column) -> Column:
+        """Of words in order: the r-th of equal ones adds 2r - 1 squares, so that t of them add t^2."""
+
+        def step(a: Column, v: Column) -> Column:
+            r = F.when(a["w"] == v["w"], a["r"] + 1.0).otherwise(1.0)
+            return F.struct(v["w"].alias("w"), r.alias("r"), (a["norm"] + v["x"] * v["x"] * (2.0 * r - 1.0)).alias("norm"), (a["dot"] + v["x"] * v["y"]).alias("dot"))
+
+        begin = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("r"), F.lit(0.0).alias("norm"), F.lit(0.0).alias("dot"))
+        return F.aggregate(F.array_sort(window), begin, step, lambda a: a["dot"] / F.sqrt(a["norm"]))
+
+    words = files.select("_k1", "_k2", _words(F.col("_text")).alias("_w"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / BLOCK).cast("int"))
+    blocks = words.where(F.size("_w") > 0).select("_k1", "_k2", F.posexplode(F.transform(numbers, lambda b: F.slice("_w", b * BLOCK + 1, reach))).alias("_b", "_w"))
+    blocks = blocks.withColumn("_in", F.array_intersect("_w", F.array(*map(F.lit, sorted(idf)))))
+    likely = blocks.select("_k1", "_k2", "_b", "_w", F.explode(F.filter(given, lambda t: shared(t["y"], F.col("_in")) >= bound)).alias("_t"))
+    n, y = F.col("_t.n"), F.col("_t.y")
+    # a block with fewer words than a window is a whole text or holds no first word
+    likely = likely.where((F.size("_w") >= n) | (F.col("_b") == 0))
+    firsts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.size("_w") - n + 1)))
+    firsts = F.filter(firsts, lambda s: shared(y, F.array_intersect(F.slice("_w", s, n), F.map_keys(y))) >= bound)
+    likely = likely.withColumn("_s", firsts).where(F.size("_s") > 0)
+    weighed = F.transform("_w", lambda w: F.struct(w.alias("w"), F.coalesce(weight[w], F.lit(float(unseen))).alias("x"), F.coalesce(y[w], F.lit(0.0)).alias("y")))
+    likely = likely.select("_k1", "_k2", "_t", "_s", weighed.alias("_x"))
+    scores = F.transform("_s", lambda s: cosine(F.slice("_x", s, n)))
+    return likely.select("_k1", "_k2", F.col("_t.name").alias("_name"), F.round(F.array_max(scores), 6).alias("_score")).where(F.col("_score") >= threshold)
+
+
 def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """``_k1, _k2, own_license, own_score`` of the files ``(_k1, _k2, _text)`` in which a licence is found.
 
@@ -113,7 +154,10 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     total = files.count()
     idf, vectors = template_weights(counts, total, templates)
     unseen = template_weights({}, total, (("", "x"),))[0]["x"]
-    parts = _parts(files, anchors(idf, vectors, threshold))
+    anchor_words = anchors(idf, vectors, threshold)
+    hit = r"(?<![a-z0-9])(" + "|".join(sorted(map(re.escape, anchor_words))) + r")(?![a-z0-9])"
+    files = files.where(F.lower("_text").rlike(hit))
+    parts = _parts(files, anchor_words)
     words = parts.select("_k1", "_k2", "_part", F.explode(_words(F.col("_text"))).alias("_word"))
     counted = words.groupBy("_k1", "_k2", "_part", "_word").agg(F.count(F.lit(1)).alias("_tf"))
     weights = spark.createDataFrame([(w, float(x)) for w, x in idf.items()], "w string, idf double")
@@ -125,6 +169,7 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     dots = weighed.where("idf is not null").join(F.broadcast(vectors_df), F.col("_word") == F.col("w2"))
     dots = dots.groupBy("_k1", "_k2", "_part", "_template", "_name").agg(F.sum(F.col("_x") * F.col("_y")).alias("_dot"))
     scored = dots.join(lengths, ["_k1", "_k2", "_part"]).withColumn("_score", F.round(F.col("_dot") / F.col("_norm"), 6)).where(F.col("_score") >= threshold)
+    scored = scored.select("_k1", "_k2", "_name", "_score").unionByName(_window_scores(files, idf, vectors, unseen, threshold, templates))
     best = scored.groupBy("_k1", "_k2").agg(F.min(F.struct((-F.col("_score")).alias("s"), F.col("_name").alias("n"))).alias("_b"))
     return best.select("_k1", "_k2", F.col("_b.n").alias("own_license"), (-F.col("_b.s")).alias("own_score"))
 
