@@ -24,7 +24,6 @@ from tablelens.session import materialize
 SAMPLE = 3000  # labelled rows per class at most: the bound of what is learned from
 STEMS = (4, 5, 6)
 EVIDENCE = 25.0  # log likelihood ratio that a learned entry needs
-ENTRIES = 2000
 THRESHOLD = 0.5
 
 # fixed values: words of abuse, the phrases in which they are harmless, look-alikes
@@ -172,13 +171,15 @@ def _counted(sample: DataFrame) -> DataFrame:
 
 def _chosen(rows: list, n0: int, n1: int) -> dict[str, float]:
     """Entries by evidence; of nested ones, the longest that has (nearly) all the evidence, else the shorter."""
-    kept: dict[str, int] = {}
+    begun: dict[str, int] = {}  # the beginnings of what is kept, with its largest n1, which comes first
     weights: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (-r["n1"], -len(r["term"]), r["term"])):
         term = r["term"]
-        if any(term.startswith(k) for k in kept) or any(k.startswith(term) and r["n1"] <= 1.1 * n for k, n in kept.items()):
+        beginnings = [term[:n] for n in range(1, len(term) + 1)]
+        if any(x in weights for x in beginnings) or r["n1"] <= 1.1 * begun.get(term, -1):
             continue
-        kept[term] = r["n1"]
+        for x in beginnings:
+            begun.setdefault(x, r["n1"])
         odds = np.log((r["n1"] + 0.5) / (n1 + 1)) - np.log((r["n0"] + 0.5) / (n0 + 1))
         weights[term] = float(np.clip(odds, 1.0, 5.0))
     return weights
@@ -200,8 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ratio = 2 * (part(a, base) + part(b, 1 - base))
     counted = materialize(_counted(sample))
     strong = counted.where((a > 4 * base * (a + b) / (1 + 3 * base)) & (ratio >= EVIDENCE))
-    rows = strong.orderBy(F.desc("n1"), "term").limit(ENTRIES).collect()
-    lexicon.weights |= _chosen(rows, n0, n1)
+    lexicon.weights |= _chosen(strong.collect(), n0, n1)  # no more than the terms of the bounded sample
     found = _features(sample, lexicon)
     lexicon.slope = _curve(np.array([[r["a"], r["b"]] for r in found]), np.array([r["_y"] for r in found]))
     return lexicon

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -131,6 +132,19 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_no_learned_entry_is_cut_off(spark):
+    """Over 2000 terms are in all toxic texts, one is in fewer of them and is learned all the same."""
+    rng = random.Random(7)
+    common = ["".join(w) for w in rng.sample(list(itertools.product("bcdfghkmn", repeat=4)), 2100)]
+    texts, labels = [], []
+    for i in range(100):
+        words = [*common, *["xyzw"] * (i % 20 != 0)] if i % 2 == 0 else ["".join(rng.choices("aeou", k=5)) for _ in range(50)]
+        texts.append(" ".join(rng.sample(words, len(words))))
+        labels.append((i, None, int(i % 2 == 0), None))
+    weights = toxicity.learn(table(spark, texts), spark.createDataFrame(labels, LABELS)).weights
+    assert " xyzw " in weights and sum(f" {w} " in weights for w in common) == len(common)
+
+
 def test_awkward_rows(spark, odd, odd_rows, none):
     labels = spark.createDataFrame([(i, (i % 2) if i != 3 else None, (i + 1) % 2 if i != 4 else 7, "t") for i in range(12)] + [(None, 1, 1, None), (0, 0, 1, None)], LABELS)
     nothing = spark.createDataFrame([], LABELS)
