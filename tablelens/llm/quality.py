@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablelens.llm.common import fold_of, shards
 
 CHUNK, STEP = 1024, 960  # bytes; neighbours share 64
-TAPS, STRIDE, FILTERS = 8, 2, 16
+TAPS, FILTERS = 8, 16
 SAMPLE = 2500  # labelled rows per class at most: the bound of what is learned from
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 THRESHOLD = 0.3
@@ -50,11 +50,11 @@ class Network:
         """Filter values at every place: ``(chunk, place, filter)``. Two taps are one table of byte pairs."""
         if self.pairs is None:
             self.pairs = (self.taps[0::2, :, None, :] + self.taps[1::2, None, :, :]).reshape(TAPS // 2, 65536, FILTERS)
-        pair = chunks[:, 0::2].astype(np.int32) * 256 + chunks[:, 1::2]
-        places = (CHUNK - TAPS) // STRIDE + 1
+        pair = chunks[:, :-1].astype(np.int32) * 256 + chunks[:, 1:]
+        places = CHUNK - TAPS + 1
         total = self.pairs[0][pair[:, :places]]
         for k in range(1, TAPS // 2):
-            total += self.pairs[k][pair[:, k : k + places]]
+            total += self.pairs[k][pair[:, 2 * k : 2 * k + places]]
         return total
 
     def logits(self, chunks: np.ndarray) -> np.ndarray:
@@ -83,7 +83,7 @@ class Network:
                 slope = np.zeros_like(self.taps)
                 rows, filters = np.arange(len(pick))[:, None], np.arange(FILTERS)[None, :]
                 for t in range(TAPS):
-                    np.add.at(slope[t], (x[rows, place * STRIDE + t], np.broadcast_to(filters, place.shape)), back)
+                    np.add.at(slope[t], (x[rows, place + t], np.broadcast_to(filters, place.shape)), back)
                 slopes = [slope, hidden.T @ error, back.sum(0), np.array([error.sum()], np.float32)]
                 step += 1
                 for p_, g, m, v in zip(params, slopes, first, second):
@@ -95,10 +95,10 @@ class Network:
         self.pairs = None
 
     def activations_single(self, x: np.ndarray) -> np.ndarray:
-        places = (CHUNK - TAPS) // STRIDE + 1
-        total = self.taps[0][x[:, 0 : 2 * places : 2]]
+        places = CHUNK - TAPS + 1
+        total = self.taps[0][x[:, :places]]
         for t in range(1, TAPS):
-            total += self.taps[t][x[:, t : t + 2 * places - 1 : 2]]
+            total += self.taps[t][x[:, t : t + places]]
         return total
 
     def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:

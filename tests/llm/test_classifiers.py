@@ -102,6 +102,14 @@ def test_pair_tables_equal_single_taps():
     assert np.allclose(network.activations(chunks), network.activations_single(chunks), atol=1e-5)
 
 
+def test_a_pattern_is_seen_at_every_byte():
+    network = quality.Network(4)
+    chunks = np.full((2, quality.CHUNK), 97, np.uint8)
+    for row, place in enumerate((500, 501)):
+        chunks[row, place : place + 8] = np.arange(40, 48)
+    assert np.allclose(*network.logits(chunks), atol=1e-6)
+
+
 def test_slopes_of_the_network_are_right():
     """One step of Adam lowers the loss on its batch; labels that cannot be learned stay near chance."""
     rng = np.random.default_rng(0)
