@@ -1,11 +1,10 @@
 """English word rules as data: ``(category, key, value)``.
 
-The tables are fixed values; regular verb forms are derived by rule from the base forms.
+The tables are fixed values. Regular forms are not listed, the suffix rules cover them.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,104 +13,24 @@ CATEGORIES = (
     "abbreviations", "irregular_verbs", "irregular_nouns", "irregular_adjectives", "spelling_variants", "compound_nouns", "no_strip",
 )
 
-# fixed values: irregular verbs, "base form form ..."; the -s and -ing forms follow by rule
+# fixed values: irregular verb forms, "form=base"; forms that the suffix rules give right are not listed
 VERBS = """
-be am is are was were been
-have has had
-do did done
-go went gone
-say said
-get got gotten
-make made
-know knew known
-think thought
-take took taken
-see saw seen
-come came
-give gave given
-find found
-tell told
-become became
-leave left
-feel felt
-put
-bring brought
-begin began begun
-keep kept
-hold held
-write wrote written
-stand stood
-hear heard
-let
-mean meant
-set
-meet met
-run ran
-pay paid
-sit sat
-speak spoke spoken
-lie lay lain
-lead led
-read
-grow grew grown
-lose lost
-fall fell fallen
-send sent
-build built
-understand understood
-draw drew drawn
-break broke broken
-spend spent
-cut
-catch caught
-drive drove driven
-buy bought
-wear wore worn
-choose chose chosen
-seek sought
-throw threw thrown
-teach taught
-deal dealt
-show showed shown
-rise rose risen
-fight fought
-hit
-sing sang sung
-swim swam swum
-fly flew flown
-eat ate eaten
-drink drank drunk
-sleep slept
-wake woke woken
-sell sold
-win won
-ride rode ridden
-shake shook shaken
-forget forgot forgotten
-blow blew blown
-hang hung
-steal stole stolen
-hide hid hidden
-bite bit bitten
-tear tore torn
-feed fed
-dig dug
-spread
-shut
-cost
-quit
-hurt
-lay laid
-light lit
-shoot shot
-freeze froze frozen
-forbid forbade forbidden
-forgive forgave forgiven
-swear swore sworn
-overcome overcame
-undertake undertook undertaken
-withdraw withdrew withdrawn
-use used
+am=be is=be are=be was=be were=be been=be being=be has=have had=have did=do done=do does=do doing=do went=go gone=go
+goes=go going=go said=say got=get gotten=get made=make knew=know known=know thought=think took=take taken=take saw=see
+seen=see seeing=see came=come gave=give given=give found=find told=tell became=become left=leave leaves=leave
+felt=feel feeling=feel brought=bring began=begin begun=begin kept=keep keeping=keep held=hold wrote=write
+written=write stood=stand heard=hear meant=mean met=meet meeting=meet ran=run paid=pay sat=sit spoke=speak
+spoken=speak speaking=speak lay=lie lain=lie lying=lie led=lead leading=lead reading=read grew=grow grown=grow
+lost=lose fell=fall fallen=fall sent=send built=build understood=understand drew=draw drawn=draw broke=break
+broken=break breaking=break spent=spend caught=catch drove=drive driven=drive drives=drive bought=buy wore=wear
+worn=wear chose=choose chosen=choose sought=seek seeking=seek threw=throw thrown=throw taught=teach dealt=deal
+showed=show shown=show rose=rise risen=rise fought=fight sang=sing sung=sing swam=swim swum=swim flew=fly flown=fly
+flies=fly ate=eat eaten=eat eating=eat drank=drink drunk=drink slept=sleep sleeping=sleep woke=wake woken=wake
+sold=sell won=win rode=ride ridden=ride shook=shake shaken=shake forgot=forget forgotten=forget blew=blow blown=blow
+hung=hang stole=steal stolen=steal hid=hide hidden=hide bit=bite bitten=bite tore=tear torn=tear fed=feed feeding=feed
+dug=dig spreading=spread laid=lay lit=light shot=shoot shooting=shoot froze=freeze frozen=freeze freezes=freeze
+forbade=forbid forbidden=forbid forgave=forgive forgiven=forgive forgives=forgive swore=swear sworn=swear
+overcame=overcome undertook=undertake undertaken=undertake withdrew=withdraw withdrawn=withdraw used=use using=use
 """
 
 # fixed values: irregular noun forms, "form=singular"
@@ -307,22 +226,6 @@ SUFFIX_RULES = (
 )
 
 
-def third_person(base: str) -> str:
-    if re.search(r"(s|x|z|ch|sh|o)$", base):
-        return base + "es"
-    return base[:-1] + "ies" if re.search(r"[^aeiou]y$", base) else base + "s"
-
-
-def gerund(base: str) -> str:
-    if base.endswith("ie"):
-        return base[:-2] + "ying"
-    if base.endswith("e") and not base.endswith(("ee", "be")):
-        return base[:-1] + "ing"
-    if re.search(r"([^aeiou]|qu)[aeiou][^aeiouwxy]$", base):
-        return base + base[-1] + "ing"
-    return base + "ing"
-
-
 def _pairs(text: str) -> dict[str, str]:
     return dict(part.split("=", 1) for part in text.split())
 
@@ -331,19 +234,9 @@ def _lines(text: str) -> list[str]:
     return [line for line in text.strip().splitlines() if line]
 
 
-def _verb_forms() -> dict[str, str]:
-    forms: dict[str, str] = {}
-    for line in _lines(VERBS):
-        base, *rest = line.split()
-        derived = [] if base == "be" else [third_person(base)]
-        for form in (*rest, *derived, gerund(base)):
-            forms.setdefault(form, base)
-    return forms
-
-
 def built_in_rules() -> list[tuple[str, str, str]]:
     rules = [("abbreviations", *line.split("=", 1)) for line in _lines(ABBREVIATIONS)]
-    rules += [("irregular_verbs", k, v) for k, v in _verb_forms().items()]
+    rules += [("irregular_verbs", k, v) for k, v in _pairs(VERBS).items()]
     rules += [("irregular_nouns", k, v) for k, v in _pairs(NOUNS).items()]
     rules += [("irregular_adjectives", k, v) for k, v in _pairs(ADJECTIVES).items()]
     for line in _lines(VARIANTS):

@@ -1,6 +1,6 @@
 import pytest
 
-from tablelens.functions.lexicon import built_in_rules, gerund, rules_frame, third_person
+from tablelens.functions.lexicon import built_in_rules, rules_frame
 from tablelens.operators import words as w
 
 LEMMAS = {
@@ -26,9 +26,17 @@ def test_lemmas(spark, rules):
     assert got == LEMMAS
 
 
-def test_regular_forms():
-    assert [third_person(b) for b in ("go", "fly", "buy", "catch")] == ["goes", "flies", "buys", "catches"]
-    assert [gerund(b) for b in ("lie", "see", "take", "quit", "begin", "draw", "break")] == ["lying", "seeing", "taking", "quitting", "beginning", "drawing", "breaking"]
+def test_verb_forms_by_table_and_by_suffix_rule(spark, rules):
+    """Every form of a verb has its base form as lemma, whether a table or a suffix rule gives it."""
+    forms = {
+        "go": "goes going went gone", "do": "does doing did done", "leave": "leaves leaving left", "lie": "lies lying lay lain", "fly": "flies flying flew flown",
+        "freeze": "freezes freezing froze frozen", "forgive": "forgives forgiving forgave forgiven", "drive": "drives driving drove driven", "put": "puts putting",
+        "catch": "catches catching caught", "begin": "begins beginning began begun", "use": "uses using used", "read": "reads reading", "take": "takes taking took taken",
+        "swim": "swims swimming swam swum", "buy": "buys buying bought", "see": "sees seeing saw seen", "undertake": "undertakes undertaking undertook undertaken",
+    }
+    want = {f: base for base, listed in forms.items() for f in listed.split()} | {"lay": "lie"}
+    got = w.word_lemmas(spark.createDataFrame([(f,) for f in want], "word string"), "word", rules)
+    assert {r["word"]: r["lemma"] for r in got.collect()} == want
     assert len({(c, k) for c, k, _ in built_in_rules()}) == len(built_in_rules())
 
 
