@@ -32,8 +32,8 @@ LONGEST = 4
 TOP = 2000
 INSIDE = 80  # per cent of a phrase's occurrences inside one longer phrase that make it a mere part of that
 BITS = (16, 29)  # smallest and largest bitmap: 64 MB at most
-BLOCK = 2 << 20  # occurrences combined at once in a task
-KEPT = 400_000  # phrases that a task counts before it hands them on
+BLOCK = 1 << 20  # occurrences combined at once in a task
+KEPT = 250_000  # phrases that a task counts before it hands them on
 
 BLANK = [0x20, 0x09]
 BREAK = [*b".,;:!?", *range(0x0A, 0x0E)]
