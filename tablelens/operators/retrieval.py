@@ -1,26 +1,15 @@
-"""Vectors over a corpus and exact top-k search.
-
-Searches hold the queries in memory (a block at a time) and stream the corpus past them: each
-task keeps its best ``k`` per query, so only those rows are shuffled, never query-document pairs.
-"""
+"""Vectors over a corpus, what is made of search results, and the document store. The searches are in ``search.py``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelens.functions.text import bind, search_tokens
-from tablelens.operators.joins import join_stats, top_k
+from tablelens.operators.joins import join_stats
 from tablelens.session import materialize
 
 # fixed values: result sizes, score weights, confidence limits
 TOP_K, VECTOR_WEIGHT, KEYWORD_WEIGHT, SIMILAR = 5, 0.7, 0.3, 0.7
-QUERY_BLOCK = 512
-CELLS = 4_000_000
-SEEN_WORDS = 500_000
 
 
 # ---- corpus statistics ---------------------------------------------------------------------
@@ -84,185 +73,7 @@ def keyword_score(content: Column, keywords: Column) -> Column:
     return F.when(F.size(keywords) > 0, hits / F.size(keywords)).otherwise(F.lit(0.0))
 
 
-# ---- search --------------------------------------------------------------------------------
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, ties by id; keeps all ties at the cut before ordering."""
-    if len(scores) > k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.nonzero(scores >= cut)[0]
-    else:
-        near = np.arange(len(scores))
-    return near[np.lexsort((ids[near], -scores[near]))][:k]
-
-
-class _Keeper:
-    """Running top-k per query over the batches of one task."""
-
-    def __init__(self, n_queries: int, k: int) -> None:
-        self.k = k
-        self.scores: list[np.ndarray] = [np.empty(0)] * n_queries
-        self.ids: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * n_queries
-
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        # equal documents must tie whatever batch they are in
-        scores = np.round(scores, 9)
-        for q in range(len(self.scores)):
-            s, i = np.concatenate([self.scores[q], scores[:, q]]), np.concatenate([self.ids[q], ids])
-            keep = _best(s, i, self.k)
-            self.scores[q], self.ids[q] = s[keep], i[keep]
-
-    def frame(self, query_ids) -> pd.DataFrame:
-        sizes = [len(s) for s in self.scores]
-        return pd.DataFrame({"query_id": np.repeat(np.asarray(query_ids, dtype=np.int64), sizes), "doc_id": np.concatenate(self.ids), "score": np.concatenate(self.scores)})
-
-
-_FOUND = "query_id long, doc_id long, score double"
-
-
-def _query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[list]:
-    """All query rows, about ``block`` of them on the driver at a time.
-
-    A row belongs to a block by its hash, so repeated and NULL ids are neither lost nor read twice.
-    """
-    n = -(-queries.count() // block)
-    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in queries.columns]), F.lit(max(1, n)))
-    for i in range(n):
-        rows = sorted(queries.where(own == i).collect(), key=lambda r: (r["query_id"] is None, r["query_id"] or 0))
-        if rows:
-            yield rows
-
-
-def _merge(parts: list[DataFrame], k: int) -> DataFrame:
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return top_k(out, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
-
-
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Exact cosine top-k: ``queries (query_id, vector)`` against ``vectors (doc_id, vector)``."""
-    parts = []
-    for rows in _query_blocks(queries):
-        ids = [r["query_id"] for r in rows]
-        mat = np.array([r["vector"] for r in rows], dtype=np.float64)
-        norm = np.linalg.norm(mat, axis=1, keepdims=True)
-        unit = np.divide(mat, norm, out=np.zeros_like(mat), where=norm > 0)
-
-        def run(frames, ids=ids, unit=unit):
-            best = _Keeper(len(ids), k)
-            for pdf in frames:
-                x = np.array(pdf["vector"].tolist(), dtype=np.float64)
-                if len(x):
-                    length = np.linalg.norm(x, axis=1, keepdims=True)
-                    x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-                    best.add(x @ unit.T, pdf["doc_id"].to_numpy(np.int64))
-            yield best.frame(ids)
-
-        parts.append(vectors.select("doc_id", "vector").mapInPandas(run, _FOUND))
-    if not parts:
-        raise ValueError("no queries")
-    return _merge(parts, k)
-
-
-def _inner_tokens(column: dict[str, int]):
-    """Columns of the query tokens that occur inside a word, remembered per word.
-
-    A token consists of word characters, so it lies within one word of the text.
-    """
-    longest = max(map(len, column), default=0)
-    seen: dict[str, np.ndarray] = {}
-
-    def find(word: str) -> np.ndarray:
-        got = seen.get(word)
-        if got is None:
-            n = len(word)
-            parts = {word[i:j] for i in range(n) for j in range(i + 2, min(n, i + longest) + 1)}
-            got = np.array([column[p] for p in parts if p in column], dtype=np.int64)
-            if len(seen) >= SEEN_WORDS:
-                seen.clear()
-            seen[word] = got
-        return got
-
-    return find
-
-
-def _only(tokens: Column, vocab: list[str]) -> Column:
-    return F.filter(tokens, lambda t: t.isin(vocab)) if vocab else F.array().cast("array<string>")
-
-
-def text_search(
-    queries: DataFrame,
-    docs: DataFrame,
-    k: int = TOP_K,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    vector_weight: float = VECTOR_WEIGHT,
-    keyword_weight: float = KEYWORD_WEIGHT,
-    use_idf: bool = True,
-) -> DataFrame:
-    """Exact top-k of ``vector_weight * cosine + keyword_weight * keyword share``.
-
-    ``queries`` holds ``(query_id, text)``. Vectors are TF-IDF over the corpus, or plain token
-    frequencies without ``use_idf``. Document norms come from the corpus statistics; the scoring
-    pass only needs the query tokens of each document and its different words.
-    """
-    n_docs = docs.count()
-    df = materialize(document_frequency(docs, text)) if use_idf else None
-    norms = _norms(_weights(docs, doc_id, text, n_docs, df))
-    tokens = search_tokens(F.col(text))
-    base = join_stats(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), norms, ["doc_id"])
-    runs = F.array_join(F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[^\w一-龥]+", " "), " ")), " ")
-    parts = []
-    for rows in _query_blocks(queries.select("query_id", search_tokens(F.col("text")).alias("tokens"))):
-        ids = [r["query_id"] for r in rows]
-        bags = [r["tokens"] for r in rows]
-        vocab = sorted({t for bag in bags for t in bag})
-        column = {t: i for i, t in enumerate(vocab)}
-        idf = np.ones(len(vocab))
-        if use_idf:
-            idf[:] = 0.0
-            known = df.where(F.col("token").isin(vocab)).collect() if vocab else []
-            for r in known:
-                idf[column[r["token"]]] = np.log(n_docs / r["df"])
-        q = np.zeros((len(ids), len(vocab)))
-        share = np.zeros((len(ids), len(vocab)))
-        for i, bag in enumerate(bags):
-            for t in bag:
-                q[i, column[t]] += 1.0 / len(bag)
-                share[i, column[t]] += 1.0 / len(bag)
-        q *= idf
-        length = np.linalg.norm(q, axis=1, keepdims=True)
-        q = np.divide(q, length, out=np.zeros_like(q), where=length > 0)
-
-        def run(frames, ids=ids, vocab=vocab, column=column, idf=idf, q=q, share=share):
-            best = _Keeper(len(ids), k)
-            inside = _inner_tokens(column)
-            step = max(1, CELLS // max(1, len(vocab)))
-            for pdf in frames:
-                for at in range(0, len(pdf), step):
-                    part = pdf.iloc[at : at + step]
-                    x = np.zeros((len(part), len(vocab)))
-                    has = np.zeros((len(part), len(vocab)))
-                    for i, (hits, n, norm, words) in enumerate(zip(part["hits"], part["n_tokens"], part["norm"], part["words"])):
-                        if norm and norm > 0 and len(hits):
-                            found = np.fromiter((column[t] for t in hits), dtype=np.int64, count=len(hits))
-                            x[i] = np.bincount(found, minlength=len(vocab)) * (idf / (n * norm))
-                        if keyword_weight:
-                            has[i, np.concatenate([inside(w) for w in words.split(" ")])] = 1.0
-                    scores = vector_weight * (x @ q.T)
-                    if keyword_weight:
-                        scores = scores + keyword_weight * (has @ share.T)
-                    best.add(scores, part["doc_id"].to_numpy(np.int64))
-            yield best.frame(ids)
-
-        counted = bind(tokens, lambda t: F.struct(_only(t, vocab).alias("hits"), F.size(t).alias("n_tokens")))
-        scored = base.select("doc_id", counted.alias("c"), "norm", runs.alias("words")).select("doc_id", "c.*", "norm", "words")
-        parts.append(scored.mapInPandas(run, _FOUND))
-    if not parts:
-        raise ValueError("no queries")
-    return _merge(parts, k)
-
+# ---- results -------------------------------------------------------------------------------
 
 def confidence(found: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Confidence of each query from its mean score."""
@@ -279,44 +90,6 @@ def contexts(found: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: st
     return texts.groupBy("query_id").agg(joined.alias("context")).join(confidence(found, similar), "query_id")
 
 
-def mentions(questions: DataFrame, items: DataFrame, block: int = 4096) -> DataFrame:
-    """``(question_id, item_id)`` where the item's name occurs in the question, ignoring case.
-
-    The names are searched in blocks, all names of a block in one pass over each text.
-    """
-    parts = []
-    named = items.select(F.col("item_id").alias("query_id"), F.lower("name").alias("name")).where(F.col("name") != "")
-    lowered = questions.select(F.col("question_id").cast("long").alias("question_id"), F.lower("text").alias("text"))
-    for rows in _query_blocks(named, block):
-        by_name: dict[str, list[int]] = {}
-        for r in rows:
-            by_name.setdefault(r["name"], []).append(r["query_id"])
-
-        def run(frames, by_name=by_name):
-            finder = _finder(list(by_name))
-            for pdf in frames:
-                out = [(q, i) for q, t in zip(pdf["question_id"], pdf["text"]) if t for name in sorted(finder(t)) for i in by_name[name]]
-                yield pd.DataFrame(out, columns=["question_id", "item_id"]).astype("int64")
-
-        parts.append(lowered.mapInPandas(run, "question_id long, item_id long"))
-    if not parts:
-        raise ValueError("no items")
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _finder(names: list[str]):
-    import ahocorasick
-
-    machine = ahocorasick.Automaton()
-    for n in names:
-        machine.add_word(n, n)
-    machine.make_automaton()
-    return lambda text: {n for _, n in machine.iter(text)}
-
-
 # ---- document store ------------------------------------------------------------------------
 
 def upsert_documents(existing: DataFrame, incoming: DataFrame, payload: list[str]) -> DataFrame:

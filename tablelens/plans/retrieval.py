@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablelens.functions.text import search_tokens
-from tablelens.operators import retrieval as ret
+from tablelens.operators import retrieval as ret, search
 from tablelens.plans.registry import query, table
 from tablelens.session import spread
 
@@ -94,7 +94,7 @@ _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)"
 def nearest_vectors(spark, sf):
     queries = _centres(spark, sf).select(F.col("label").cast("long").alias("query_id"), F.col("centre").alias("vector"))
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return ret.vector_search(queries, vectors).withColumn("score", F.round("score", 6))
+    return search.vector_search(queries, vectors).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -127,12 +127,12 @@ _HYBRID = f"""{_COS}, kw AS (SELECT query_id, doc_id, len(list_filter(t, lambda
         SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, {_TOP} AS rank FROM al) WHERE rank <= 5""",
 )
 def text_search_by_vector(spark, sf):
-    found = ret.text_search(_questions(spark, sf), _docs(spark, sf), vector_weight=1.0, keyword_weight=0.0)
+    found = search.text_search(_questions(spark, sf), _docs(spark, sf), vector_weight=1.0, keyword_weight=0.0)
     return found.withColumn("score", F.round("score", 6))
 
 
 def _hybrid(spark, sf):
-    return ret.text_search(_questions(spark, sf), _docs(spark, sf))
+    return search.text_search(_questions(spark, sf), _docs(spark, sf))
 
 
 @query("hybrid_search", "M14", f"WITH {_HYBRID} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top")
@@ -161,14 +161,14 @@ def search_context(spark, sf):
         SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, {_TOP} AS rank FROM sc) WHERE rank <= 3""",
 )
 def similar_documents_by_frequency(spark, sf):
-    found = ret.text_search(_questions(spark, sf), _docs(spark, sf), k=3, vector_weight=1.0, keyword_weight=0.0, use_idf=False)
+    found = search.text_search(_questions(spark, sf), _docs(spark, sf), k=3, vector_weight=1.0, keyword_weight=0.0, use_idf=False)
     return found.withColumn("score", F.round("score", 6))
 
 
 @query("explicit_mentions", "M20", "SELECT doc_id AS question_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def explicit_mentions(spark, sf):
     questions = _docs(spark, sf).select(F.col("doc_id").alias("question_id"), "text")
-    return ret.mentions(questions, table(spark, sf, "benchmark").select("item_id", F.col("text").alias("name")))
+    return search.mentions(questions, table(spark, sf, "benchmark").select("item_id", F.col("text").alias("name")))
 
 
 # the store: all pages; the incoming batch: the same pages under their address without query and anchor

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablelens.operators import retrieval as ret
+from tablelens.operators import retrieval as ret, search
 
 DOCS = ["the cat sat on the mat", "a dog and a cat", "", "dogs chase cats", "quantum field theory of cats", "the cat sat on the mat", "zz"]
 ASKED = ["cat mat", "Dog! and quantum-field", "nothing here", "cat cat field"]
@@ -48,12 +48,9 @@ def brute(use_idf=True, vw=0.7, kw=0.3, k=3):
     return out
 
 
-@pytest.mark.parametrize("block", [1, 512])
-@pytest.mark.parametrize("use_idf,vw,kw", [(True, 0.7, 0.3), (True, 1.0, 0.0), (True, 0.0, 1.0)])
-def test_search_against_brute_force(docs, asked, monkeypatch, block, use_idf, vw, kw):
-    monkeypatch.setattr(ret, "QUERY_BLOCK", block)
-    monkeypatch.setattr(ret._query_blocks, "__defaults__", (block,))
-    rows = ret.text_search(asked, docs, 3, vector_weight=vw, keyword_weight=kw, use_idf=use_idf).orderBy("query_id", "rank").collect()
+@pytest.mark.parametrize("use_idf,vw,kw", [(True, 0.7, 0.3), (True, 1.0, 0.0), (True, 0.0, 1.0), (False, 1.0, 0.0)])
+def test_search_against_brute_force(docs, asked, use_idf, vw, kw):
+    rows = search.text_search(asked, docs, 3, vector_weight=vw, keyword_weight=kw, use_idf=use_idf).orderBy("query_id", "rank").collect()
     got = {}
     for r in rows:
         got.setdefault(r["query_id"], []).append((pytest.approx(r["score"], abs=2e-9), r["doc_id"]))
@@ -72,7 +69,7 @@ def test_vector_search(spark):
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(mat)], "doc_id long, vector array<float>").repartition(4)
     queries = spark.createDataFrame([(i, mat[i].tolist()) for i in range(5)], "query_id long, vector array<double>")
     got = {}
-    for r in ret.vector_search(queries, vectors, 4).orderBy("query_id", "rank").collect():
+    for r in search.vector_search(queries, vectors, 4).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["doc_id"])
     unit = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-30)
     assert got == {q: list(np.argsort(-(unit @ unit[q]), kind="stable")[:4]) for q in range(5)}
@@ -84,14 +81,6 @@ def test_dense_cosine_and_keywords(spark):
     assert [(r["c"], r["s"]) for r in rows] == [(pytest.approx(math.sqrt(0.5)), pytest.approx(2 / 3)), (0.0, 0.0)]
 
 
-@pytest.mark.parametrize("block", [1, 2, 100])
-def test_mentions(spark, block):
-    questions = spark.createDataFrame([(1, "Sales of Orders and ORDERS_old"), (2, "customers"), (3, None)], "question_id long, text string")
-    items = spark.createDataFrame([(10, "orders"), (11, "Sales"), (12, "customer"), (13, "x"), (14, "Orders")], "item_id long, name string")
-    got = {(r["question_id"], r["item_id"]) for r in ret.mentions(questions, items, block).collect()}
-    assert got == {(1, 10), (1, 11), (1, 14), (2, 12)}
-
-
 def test_store(spark):
     cols = "id long, url string, content string, created_at long, updated_at long"
     old = spark.createDataFrame([(1, "u", "a", 5, 5), (2, "v", "b", 6, 6)], cols)
