@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablelens.functions.text import bind, clean_word, paragraphs, strip_suffix, word_runs, word_tokens
+from tablelens.functions.text import clean_word, paragraphs, strip_suffix, word_runs, word_tokens
 from tablelens.operators.joins import join_stats
 from tablelens.operators.ordering import value_prefix_counts
 from tablelens.session import materialize
@@ -102,54 +99,59 @@ def token_table(paras: DataFrame) -> DataFrame:
     return paras.select("doc_id", "paragraph_id", F.posexplode(word_tokens(F.col("text"))).alias("position", "word"))
 
 
-def phrase_pattern(phrases: Sequence[str]) -> str:
-    """Alternation of phrases, longest first: a scan takes the longest phrase at each start and goes on behind it."""
-    ordered = sorted(phrases, key=lambda p: (-len(p.split()), p))
-    return r"(?<![a-z])(" + "|".join(re.escape(p).replace(r"\ ", " ") for p in ordered) + r")(?![a-z])"
-
-
-def _mark_phrases(tokens: Column, pattern: str, longest: int) -> Column:
-    """Tokens with phrase heads written ``[word`` and the words that follow them ``+word``."""
-    marked = F.regexp_replace(F.array_join(tokens, " "), pattern, "[$1]")
-    for _ in range(longest - 1):
-        marked = F.regexp_replace(marked, r"(\[[a-z]+(?: \+[a-z]+)*) ([a-z]+)(?=[ \]a-z]*\])", r"$1 +$2")
-    return F.split(F.regexp_replace(marked, r"\]", ""), " ")
+def _phrase_index(phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first two levels of the phrases' trie, and its ends: ``(pair, sizes)`` with the lengths in words of the
+    phrases below each first pair, and ``(phrase, p_lemma)``."""
+    clean = F.regexp_replace(F.trim("phrase"), r"\s+", " ")
+    listed = phrases.select(clean.alias("phrase"), "lemma").groupBy("phrase").agg(F.min("lemma").alias("p_lemma"))
+    listed = materialize(listed.withColumn("words", F.size(F.split("phrase", " "))).where("words >= 2"))
+    pairs = listed.groupBy(F.substring_index("phrase", " ", 2).alias("pair")).agg(F.collect_set("words").alias("sizes"))
+    return pairs, listed.select("phrase", "p_lemma")
 
 
-def _token_cells(tokens: Column, pattern: str | None, longest: int) -> Column:
-    """Structs ``(position, word, phrase)`` of one paragraph; only paragraphs with a phrase are marked."""
-    plain = F.transform(tokens, lambda w, i: F.struct(i.alias("position"), w.alias("word"), F.lit(None).cast("string").alias("phrase")))
-    if pattern is None:
-        return plain
+def phrase_matches(paras: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``(doc_id, paragraph_id, heads)``: phrases of each paragraph of ``(doc_id, paragraph_id, tokens)`` that has some.
 
-    def cell(mark: Column, i: Column) -> Column:
-        # only evaluated at phrase heads
-        ahead = F.array_join(F.slice(tokens, i + 1, longest), " ")
-        phrase = F.when(mark.startswith("["), F.regexp_extract(ahead, "^" + pattern, 1))
-        return F.struct(i.alias("position"), F.regexp_replace(mark, r"^\[", "").alias("word"), phrase.alias("phrase"))
-
-    heads = F.filter(F.transform(_mark_phrases(tokens, pattern, longest), cell), lambda c: ~c["word"].startswith("+"))
-    return F.when(F.array_join(tokens, " ").rlike(pattern), heads).otherwise(plain)
+    The longest phrase at a position wins and the scan goes on behind it. Phrases are joined: pairs of neighbouring
+    words with the first pairs of phrases, then what begins there with the phrases themselves, so the cost per word does
+    not depend on how many there are. ``heads`` are structs ``(at, n, phrase, p_lemma)`` in order.
+    """
+    pairs, listed = _phrase_index(phrases)
+    both = F.zip_with("tokens", F.slice("tokens", 2, F.size("tokens")), lambda x, y: F.concat(x, F.lit(" "), y))
+    starts = paras.select("doc_id", "paragraph_id", F.posexplode(both).alias("at", "pair")).join(pairs, "pair")
+    ahead = starts.drop("pair").join(paras, ["doc_id", "paragraph_id"])
+    ahead = ahead.select("doc_id", "paragraph_id", "at", "tokens", F.explode("sizes").alias("n")).where(F.col("at") + F.col("n") <= F.size("tokens"))
+    named = ahead.select("doc_id", "paragraph_id", "at", "n", F.array_join(F.slice("tokens", F.col("at") + 1, F.col("n")), " ").alias("phrase"))
+    longest = named.join(listed, "phrase").groupBy("doc_id", "paragraph_id", "at").agg(F.max(F.struct("n", "phrase", "p_lemma")).alias("m"))
+    found = longest.groupBy("doc_id", "paragraph_id").agg(F.array_sort(F.collect_list(F.struct("at", "m.n", "m.phrase", "m.p_lemma"))).alias("found"))
+    kind = found.schema["found"].dataType.simpleString()
+    start = F.struct(F.lit(0).alias("free"), F.array().cast(kind).alias("heads"))
+    take = lambda s, m: F.when(m["at"] >= s["free"], F.struct((m["at"] + m["n"]).alias("free"), F.concat(s["heads"], F.array(m)).alias("heads"))).otherwise(s)
+    return found.select("doc_id", "paragraph_id", F.aggregate("found", start, take, lambda s: s["heads"]).alias("heads"))
 
 
-def _phrase_search(phrases: DataFrame) -> tuple[str | None, int]:
-    """The phrase list as one regular expression. It is part of the rule table and small."""
-    listed = phrases.select("phrase", "words").distinct().collect()
-    if not listed:
-        return None, 0
-    return phrase_pattern([r["phrase"] for r in listed]), max(r["words"] for r in listed)
+def _cell(at: Column, word: Column, phrase: Column, p_lemma: Column) -> Column:
+    return F.struct(at.alias("position"), word.alias("word"), phrase.alias("phrase"), p_lemma.alias("p_lemma"))
 
 
 def _paragraph_cells(paras: DataFrame, phrases: DataFrame) -> DataFrame:
-    pattern, longest = _phrase_search(phrases)
-    cells = bind(word_tokens(F.col("text")), lambda tokens: _token_cells(tokens, pattern, longest))
-    return paras.select("doc_id", "paragraph_id", cells.alias("cells"))
+    """``(doc_id, paragraph_id, cells)``: structs ``(position, word, phrase, p_lemma)`` of the words that stay."""
+    tokens = materialize(paras.select("doc_id", "paragraph_id", word_tokens(F.col("text")).alias("tokens")))
+    marked = join_stats(tokens, phrase_matches(tokens, phrases), ["doc_id", "paragraph_id"])
+    none = F.lit(None).cast("string")
+    plain = F.transform("tokens", lambda w, i: _cell(i, w, none, none))
+    covered = F.flatten(F.transform("heads", lambda h: F.sequence(h["at"], h["at"] + h["n"] - 1)))
+    others = F.array_except(F.sequence(F.lit(0), F.size("tokens") - 1), covered)
+    kept = F.transform(others, lambda i: _cell(i, F.get("tokens", i), none, none))
+    first = F.transform("heads", lambda h: _cell(h["at"], F.get("tokens", h["at"]), h["phrase"], h["p_lemma"]))
+    cells = F.when(F.col("heads").isNull(), plain).otherwise(F.sort_array(F.concat(kept, first)))
+    return marked.select("doc_id", "paragraph_id", cells.alias("cells"))
 
 
 def tokens_with_phrases(paras: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Tokens of each paragraph; a phrase keeps its first word, with the phrase in ``phrase``.
+    """Tokens of each paragraph; a phrase keeps its first word, with the phrase and its lemma beside it.
 
-    The search runs inside the scan of the paragraphs; positions keep their gaps.
+    Positions keep their gaps.
     """
     return _paragraph_cells(paras, phrases).select("doc_id", "paragraph_id", F.inline("cells"))
 
@@ -161,8 +163,7 @@ def word_table(docs: DataFrame, rules: DataFrame, doc_id: str = "doc_id", text:
     ids need no sort of the words: a paragraph knows the order of its own, so only the word counts of
     the paragraphs are ordered and summed.
     """
-    phrases = phrase_table(rules)
-    cells = materialize(_paragraph_cells(paragraph_table(docs, doc_id, text), phrases))
+    cells = materialize(_paragraph_cells(paragraph_table(docs, doc_id, text), phrase_table(rules)))
     if with_ids:
         counts = cells.select(F.struct("doc_id", "paragraph_id").alias("place"), F.size("cells").alias("n"))
         before = value_prefix_counts(counts, "place", weight="n").select("place.*", F.col("before").alias("_before"))
@@ -171,9 +172,8 @@ def word_table(docs: DataFrame, rules: DataFrame, doc_id: str = "doc_id", text:
         placed = cells.withColumn("_before", F.lit(0))
     opened = placed.select("doc_id", "paragraph_id", "_before", F.posexplode("cells").alias("_i", "_c"))
     tokens = opened.select((F.col("_before") + F.col("_i")).cast("long").alias("word_id"), "doc_id", "paragraph_id", "_c.*")
-    tagged = join_stats(tokens, phrases.groupBy("phrase").agg(F.min("lemma").alias("p_lemma")), ["phrase"])
     words = cells.select(F.explode(F.transform("cells", lambda c: c["word"])).alias("word"))
-    lemmas = join_stats(tagged, word_lemmas(words, "word", rules), ["word"])
+    lemmas = join_stats(tokens, word_lemmas(words, "word", rules), ["word"])
     # the phrase lemma counts where it differs from the word
     lemma = F.when(F.col("p_lemma").isNotNull() & (F.col("p_lemma") != F.col("word")), F.col("p_lemma")).otherwise(F.col("lemma"))
     ids = ["word_id"] if with_ids else []

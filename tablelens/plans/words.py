@@ -95,20 +95,20 @@ def _phrase_rules(spark):
 @query(
     "phrase_heads",
     "T2",
-    f"""WITH RECURSIVE {TOKENS_SQL}, ph(phrase, words) AS (VALUES {', '.join(f"('{p}', {len(p.split())})" for _, p, _ in _USER_PHRASES)}),
+    f"""WITH RECURSIVE {TOKENS_SQL}, ph(phrase, words, lemma) AS (VALUES {', '.join(f"('{p}', {len(p.split())}, '{lemma}')" for _, p, lemma in _USER_PHRASES)}),
       seq AS (SELECT *, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM toks WINDOW o AS (PARTITION BY doc_id, paragraph_id ORDER BY position)),
-      cand AS (SELECT doc_id, paragraph_id, position, max(words) AS len FROM seq JOIN ph
+      cand AS (SELECT doc_id, paragraph_id, position, max(words) AS len, arg_max(lemma, words) AS lemma FROM seq JOIN ph
                ON phrase = CASE words WHEN 2 THEN word || ' ' || w2 ELSE word || ' ' || w2 || ' ' || w3 END GROUP BY 1, 2, 3),
       num AS (SELECT *, row_number() OVER (PARTITION BY doc_id, paragraph_id ORDER BY position) AS k FROM cand),
-      walk AS (SELECT doc_id, paragraph_id, position, k, true AS taken, position + len AS free FROM num WHERE k = 1
-        UNION ALL SELECT n.doc_id, n.paragraph_id, n.position, n.k, n.position >= walk.free, CASE WHEN n.position >= walk.free THEN n.position + n.len ELSE walk.free END
+      walk AS (SELECT doc_id, paragraph_id, position, lemma, k, true AS taken, position + len AS free FROM num WHERE k = 1
+        UNION ALL SELECT n.doc_id, n.paragraph_id, n.position, n.lemma, n.k, n.position >= walk.free, CASE WHEN n.position >= walk.free THEN n.position + n.len ELSE walk.free END
         FROM walk JOIN num n ON n.doc_id = walk.doc_id AND n.paragraph_id = walk.paragraph_id AND n.k = walk.k + 1)
-      SELECT walk.doc_id, walk.paragraph_id, walk.position, free - walk.position AS words FROM walk WHERE taken""",
+      SELECT walk.doc_id, walk.paragraph_id, walk.position, free - walk.position AS words, walk.lemma FROM walk WHERE taken""",
 )
 def phrase_heads(spark, sf):
     tokens = w.tokens_with_phrases(w.paragraph_table(_docs(spark, sf)), w.phrase_table(_phrase_rules(spark)))
     heads = tokens.where(F.col("phrase").isNotNull())
-    return heads.select("doc_id", "paragraph_id", "position", F.size(F.split("phrase", " ")).alias("words"))
+    return heads.select("doc_id", "paragraph_id", "position", F.size(F.split("phrase", " ")).alias("words"), F.col("p_lemma").alias("lemma"))
 
 
 @query("word_lemmas", "T3 T4", f"WITH {RULES_SQL}, {TOKENS_SQL}, {lemma_sql('SELECT word FROM toks')} SELECT word, lemma FROM lem")

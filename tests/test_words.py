@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tablelens.functions.lexicon import built_in_rules, rules_frame
@@ -57,6 +59,35 @@ def test_longest_phrase_wins_and_the_scan_goes_on_behind_it(spark):
     assert [r["word_id"] for r in rows] == list(range(9))
 
 
+def _scan(words, lemmas, longest):
+    """Position and phrase of every head: the longest phrase at a position, then on behind it."""
+    out, i = [], 0
+    while i < len(words):
+        n = next((n for n in range(min(longest, len(words) - i), 1, -1) if " ".join(words[i : i + n]) in lemmas), 1)
+        if n > 1:
+            out.append((i, lemmas[" ".join(words[i : i + n])]))
+        i += n
+    return out
+
+
+def test_many_phrases_against_a_scan(spark):
+    """A hundred thousand phrases, most of which begin with the same pair; long runs that overlap themselves."""
+    rng = random.Random(2)
+    word = lambda: rng.choice("abcd")
+    phrases = {" ".join(word() for _ in range(rng.randrange(2, 7))) for _ in range(900)} | {"a a", "a a a"}
+    far = [f"a b {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}x" for i in range(100_000)]
+    lemmas = {p: p.replace(" ", "_") for p in (*phrases, *far)}
+    texts = [" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(120)] + ["a " * 301, "a b aaaax a b zzzax", "", "c"]
+    rules = spark.createDataFrame([("compound_nouns", p, v) for p, v in lemmas.items()], "category string, key string, value string")
+    heads = w.tokens_with_phrases(w.paragraph_table(docs(spark, *texts)), w.phrase_table(rules)).where("phrase is not null")
+    got = {}
+    for r in heads.collect():
+        assert r["p_lemma"] == r["phrase"].replace(" ", "_")
+        got.setdefault(r["doc_id"], []).append((r["position"], r["p_lemma"]))
+    want = {i: _scan(t.split(), lemmas, 6) for i, t in enumerate(texts)}
+    assert {i: sorted(v) for i, v in got.items()} == {i: v for i, v in want.items() if v}
+
+
 def test_paragraphs_and_counts(spark):
     rows = w.paragraph_table(docs(spark, "  One two \n\n\t\n three\u00e9x 4 ", "", "!!!")).orderBy("doc_id", "paragraph_id").collect()
     assert [(r["doc_id"], r["paragraph_id"], r["text"], r["word_count"]) for r in rows] == [
