@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,6 +23,7 @@ from tablelens.operators.ordering import (
     order_stats,
     value_prefix_counts,
     with_row_index,
+    with_running_sum,
 )
 from tablelens.operators.profile import columns_of
 from tablelens.session import materialize
@@ -30,6 +32,7 @@ from tablelens.session import materialize
 Z_LIMIT, IQR_FACTOR, MAD_LIMIT, MAD_SCALE = 3.0, 1.5, 3.5, 1.4826
 WINDOW_ROWS, CLUSTERS, SHARE, ROUNDS, MOVED = 10, 3, 0.1, 100, 1e-4
 DEFAULT_METHODS = ("zscore", "iqr", "mad")
+DIRECTORY = 4096  # rows of a prefix-sum table that are held for lookups
 
 
 def indexed(df: DataFrame, value: str, order_by: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -123,34 +126,71 @@ def window_bounds(rows: DataFrame, keys: Sequence[str] = (), window: int = WINDO
     )
 
 
-def _nearest(value: Column, centres: Sequence[float]) -> Column:
-    """Index of the nearest centre, the lower index on equal distance."""
-    gaps = [F.abs(value - c) for c in centres]
-    best = F.least(*gaps) if len(gaps) > 1 else gaps[0]
-    out = F.lit(len(gaps) - 1)
-    for i in range(len(gaps) - 2, -1, -1):
-        out = F.when(gaps[i] == best, i).otherwise(out)
-    return out
-
-
-def kmeans_centres(rows: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, moved: float = MOVED) -> list[float]:
-    """1-D centres: quantile starts, then rounds over the distinct values until all centres rest."""
-    prefix = materialize(value_prefix_counts(rows, "value"))
-    starts = order_stats(prefix, "value", {f"c{i}": (lambda q: lambda n: F.floor(n * F.lit(q)).cast("long"))((i + 0.5) / k) for i in range(k)}).first()
+class _PrefixSums:
+    """Count and sum of all values up to a limit, from a table of running sums over the distinct values.
+
+    The table is sorted by value. Some thousand of its rows, evenly spread over the counts, are held here; a lookup
+    takes the last of them below the limit and reads the stretch from there on, which the files' value ranges narrow down.
+    """
+
+    def __init__(self, rows: DataFrame, held: int = DIRECTORY):
+        counts = value_prefix_counts(rows, "value")
+        self.table = materialize(with_running_sum(counts, "value", F.col("value") * F.col("cnt"), "sum").select("value", "cnt", "before", "total", "sum"))
+        first = self.table.select("total").first()
+        self.total = first["total"] if first else 0
+        step = max(1, -(-self.total // held))
+        upto = F.col("before") + F.col("cnt")
+        crossed = F.floor(upto / step) != F.floor(F.col("before") / step)
+        self.known = sorted((r["value"], r["n"], r["sum"]) for r in self.table.where(crossed).select("value", upto.alias("n"), "sum").collect())
+
+    def upto(self, limits: Sequence[float]) -> list[tuple[int, float]]:
+        """``(count, sum)`` of the values that are not above each limit, in one small job."""
+        below = [next((k for k in reversed(self.known) if k[0] <= x), (-math.inf, 0, 0.0)) for x in limits]
+        wanted = [(F.col("value") > k[0]) & (F.col("value") <= x) for k, x in zip(below, limits)]
+        if not wanted:
+            return []
+        near = self.table.where(reduce(lambda a, b: a | b, wanted))
+        last = near.agg(*[F.max_by(F.struct((F.col("before") + F.col("cnt")).alias("n"), "sum"), F.when(w, F.col("value"))).alias(f"l{i}") for i, w in enumerate(wanted)]).first()
+        return [(last[f"l{i}"]["n"], last[f"l{i}"]["sum"]) if last[f"l{i}"] else (k[1], k[2]) for i, k in enumerate(below)]
+
+
+def _clusters(rows: DataFrame, k: int, rounds: int, moved: float) -> list[tuple[float, int]]:
+    """Centres with the number of values of the last assignment.
+
+    In one dimension a cluster is a range of values, bounded by the middles between centres, so its mean follows from
+    two lookups of running sums. Of equal centres the first has the values; one without values stays where it is.
+    """
+    sums = _PrefixSums(rows)
+    starts = order_stats(sums.table.select("value", "cnt", "before", "total"), "value", {f"c{i}": (lambda q: lambda n: F.floor(n * F.lit(q)).cast("long"))((i + 0.5) / k) for i in range(k)}).first()
     centres = [starts[f"c{i}"] for i in range(k)]
+    whole = sums.upto([math.inf])[0]
+    sizes = [0] * k
     for _ in range(rounds):
-        sums = (
-            prefix.groupBy(_nearest(F.col("value"), centres).alias("c"))
-            .agg((F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("m"))
-            .collect()
-        )
-        found = {r["c"]: r["m"] for r in sums}
-        new = [found.get(i, centres[i]) for i in range(k)]
+        # by value; of equal centres the first, and a value in the middle goes to the one of smaller number
+        alive = sorted({c: i for i, c in reversed(list(enumerate(centres)))}.items())
+        middles = [((a + b) / 2, i < j) for (a, i), (b, j) in zip(alive, alive[1:])]
+        cuts = [(0, 0.0), *sums.upto([m if lower else math.nextafter(m, -math.inf) for m, lower in middles]), whole]
+        new, sizes = list(centres), [0] * k
+        for (_, i), (low, high) in zip(alive, zip(cuts, cuts[1:])):
+            sizes[i] = high[0] - low[0]
+            if sizes[i]:
+                new[i] = (high[1] - low[1]) / sizes[i]
         done = all(abs(a - b) < moved for a, b in zip(new, centres))
         centres = new
         if done:
             break
-    return centres
+    return list(zip(centres, sizes))
+
+
+def kmeans_centres(rows: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, moved: float = MOVED) -> list[float]:
+    """1-D centres: quantile starts, then rounds until all centres rest."""
+    return [c for c, _ in _clusters(rows, k, rounds, moved)]
+
+
+def kmeans_clusters(rows: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, moved: float = MOVED) -> DataFrame:
+    """``(cluster, centre, n)``; no row where there are fewer than two values a cluster."""
+    found = _clusters(rows, k, rounds, moved) if len(rows.take(2 * k)) == 2 * k else []
+    return rows.sparkSession.createDataFrame([(i, float(c), int(n)) for i, (c, n) in enumerate(found)], "cluster int, centre double, n long")
 
 
 def kmeans_anomalies(rows: DataFrame, k: int = CLUSTERS, share: float = SHARE) -> DataFrame:

@@ -82,6 +82,17 @@ def value_prefix_counts(
     )
 
 
+def with_running_sum(df: DataFrame, order: str, amount: Column, name: str) -> DataFrame:
+    """Add the sum of ``amount`` over all rows up to this one; ``order`` is a unique column."""
+    rows = _ranged(df.withColumn("_amount", amount), [F.col(order)])
+    inside = Window.partitionBy("_pid").orderBy("_mono").rowsBetween(Window.unboundedPreceding, 0)
+    # one row per partition
+    parts = rows.groupBy("_pid").agg(F.sum("_amount").alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy().orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("_pid", F.coalesce(before, F.lit(0)).alias("_off"))
+    return equi_join(rows.withColumn("_run", F.sum("_amount").over(inside)), parts, ["_pid"]).select(*df.columns, (F.col("_run") + F.col("_off")).alias(name))
+
+
 def order_stats(
     prefix: DataFrame,
     value: str,

@@ -88,11 +88,37 @@ def window_outliers(spark, sf):
     return _scored(anomaly.window_anomalies(_events(spark, sf)))
 
 
-@query("kmeans_outliers", "N5")
+_KM = """WITH RECURSIVE e AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM events WHERE value IS NOT NULL),
+    st AS (SELECT list(value ORDER BY value) AS l, count(*) AS n FROM e),
+    it AS (SELECT 0 AS i, false AS done, l[CAST(floor(n * (0.5::DOUBLE / 3)) AS BIGINT) + 1] AS c0, l[CAST(floor(n * (1.5::DOUBLE / 3)) AS BIGINT) + 1] AS c1,
+        l[CAST(floor(n * (2.5::DOUBLE / 3)) AS BIGINT) + 1] AS c2, 0::BIGINT AS n0, 0::BIGINT AS n1, 0::BIGINT AS n2 FROM st
+      UNION ALL
+      SELECT i + 1, abs(m0 - c0) < 1e-4 AND abs(m1 - c1) < 1e-4 AND abs(m2 - c2) < 1e-4, m0, m1, m2, k0, k1, k2 FROM (
+        SELECT i, c0, c1, c2, coalesce(avg(value) FILTER (WHERE a = 0), c0) AS m0, coalesce(avg(value) FILTER (WHERE a = 1), c1) AS m1, coalesce(avg(value) FILTER (WHERE a = 2), c2) AS m2,
+          count(*) FILTER (WHERE a = 0) AS k0, count(*) FILTER (WHERE a = 1) AS k1, count(*) FILTER (WHERE a = 2) AS k2
+        FROM (SELECT it.*, value, CASE WHEN abs(value - c0) <= abs(value - c1) AND abs(value - c0) <= abs(value - c2) THEN 0 WHEN abs(value - c1) <= abs(value - c2) THEN 1 ELSE 2 END AS a
+              FROM it, e WHERE NOT done AND i < 100)
+        GROUP BY i, c0, c1, c2)),
+    fin AS (SELECT * FROM it ORDER BY i DESC LIMIT 1)"""
+_KM_OUT = f"""{_KM}, ds AS (SELECT idx, value, least(abs(value - c0), abs(value - c1), abs(value - c2)) AS dist FROM e, fin),
+    rk AS (SELECT *, row_number() OVER (ORDER BY dist DESC, idx) AS r, count(*) OVER () AS n FROM ds), cut AS (SELECT dist AS d FROM rk WHERE r = CAST(ceil(n * 0.1::DOUBLE) AS BIGINT))
+    SELECT idx, value, round(dist / d, 4) AS score FROM rk, cut WHERE r <= CAST(ceil(n * 0.1::DOUBLE) AS BIGINT)"""
+
+
+@query("kmeans_outliers", "N5", _KM_OUT)
 def kmeans_outliers(spark, sf):
     return _scored(anomaly.kmeans_anomalies(_events(spark, sf)))
 
 
+@query(
+    "kmeans_clusters",
+    "N5",
+    f"""{_KM} SELECT 0::INT AS cluster, round(c0, 6) AS centre, n0 AS n FROM fin UNION ALL SELECT 1, round(c1, 6), n1 FROM fin UNION ALL SELECT 2, round(c2, 6), n2 FROM fin""",
+)
+def kmeans_clusters(spark, sf):
+    return anomaly.kmeans_clusters(_events(spark, sf)).withColumn("centre", F.round("centre", 6))
+
+
 _ENSEMBLE = f"""{_E}, {_Z}, {_IQR}, {_MAD}, u AS (SELECT *, 'zscore' AS method FROM z UNION ALL SELECT *, 'iqr' FROM i UNION ALL SELECT *, 'mad' FROM a),
     en AS (SELECT idx, value, least(max(score) / 3, 1) AS score, string_agg(method, ',' ORDER BY method) AS methods, count(*) AS n_methods
            FROM u GROUP BY idx, value)"""

@@ -76,6 +76,34 @@ def test_kmeans_against_brute_force(spark, n):
     assert an.kmeans_anomalies(series(spark, values[:5])).count() == 0
 
 
+def plain_clusters(values, k):
+    s, n = sorted(values), len(values)
+    centres = [s[int((i + 0.5) * n / k)] for i in range(k)]
+    for _ in range(100):
+        groups = [[] for _ in range(k)]
+        for v in values:
+            groups[min(range(k), key=lambda c: abs(v - centres[c]))].append(v)
+        new = [statistics.fmean(g) if g else centres[i] for i, g in enumerate(groups)]
+        done = all(abs(a - b) < 1e-4 for a, b in zip(new, centres))
+        centres = new
+        if done:
+            break
+    return [(i, c, len(g)) for i, (c, g) in enumerate(zip(centres, groups))]
+
+
+@pytest.mark.parametrize("held", [1, 5, 4096])
+@pytest.mark.parametrize("k,values", [
+    (3, [float((i * 37) % 23) + (50.0 if i % 3 == 0 else 0.0) for i in range(91)]), (2, [1.0] * 20), (4, [1.0] * 20 + [9.0, 9.5, -3.25]),
+    (5, [(i * i) % 101 / 8 for i in range(200)]), (1, [3.0, 4.5, -1.0]), (3, [0.0, 1.0]),
+])
+def test_clusters_against_brute_force(spark, monkeypatch, held, k, values):
+    monkeypatch.setattr(an._PrefixSums.__init__, "__defaults__", (held,))
+    got = sorted(map(tuple, an.kmeans_clusters(series(spark, values), k).collect()))
+    want = plain_clusters(values, k) if len(values) >= 2 * k else []
+    assert [(i, n) for i, _, n in got] == [(i, n) for i, _, n in want]
+    assert [c for _, c, _ in got] == pytest.approx([c for _, c, _ in want])
+
+
 def test_ensemble_lists_methods(spark):
     values = [1.0, 2.0, 3.0, 2.0] * 6 + [60.0]
     found = an.detect_anomalies(series(spark, values)).collect()
