@@ -32,6 +32,7 @@ from tablelens.session import materialize
 Z_LIMIT, IQR_FACTOR, MAD_LIMIT, MAD_SCALE = 3.0, 1.5, 3.5, 1.4826
 WINDOW_ROWS, CLUSTERS, SHARE, ROUNDS, MOVED = 10, 3, 0.1, 100, 1e-4
 DEFAULT_METHODS = ("zscore", "iqr", "mad")
+OWN_COLUMNS = 3  # fixed value: numeric columns that are analysed where none are named
 DIRECTORY = 4096  # rows of a prefix-sum table that are held for lookups
 
 
@@ -277,8 +278,14 @@ def anomaly_summary(rows: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumns({"rate_pct": rate, "band": band})
 
 
-def column_zscores(df: DataFrame, columns: Sequence[str], keep: Sequence[str], limit: float = Z_LIMIT, min_values: int = 10) -> DataFrame:
-    """Z-scores (population sd) of several columns in long form; NULL cells are skipped."""
+def column_zscores(df: DataFrame, columns: Sequence[str] | None, keep: Sequence[str], limit: float = Z_LIMIT, min_values: int = 10) -> DataFrame:
+    """Z-scores (population sd) of several columns in long form; NULL cells are skipped.
+
+    Without ``columns``, the first ``OWN_COLUMNS`` numeric columns of the table.
+    """
+    columns = columns_of(df, "number")[:OWN_COLUMNS] if columns is None else columns
+    if not columns:
+        raise ValueError("the table has no numeric column")
     stats = df.agg(*[agg(F.col(c).cast("double")).alias(f"{c}_{n}") for c in columns for n, agg in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))]).first()
     cells = []
     for c in columns:

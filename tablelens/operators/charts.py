@@ -184,10 +184,14 @@ def radar_extremes(axes: DataFrame) -> DataFrame:
     )
 
 
-def funnel(stages: DataFrame, stage: str, value: str, ascending: bool = False) -> DataFrame:
-    """Stages (one row each) by value, with the rate to the previous stage and the share of the first."""
-    order = [F.col("value").asc() if ascending else F.col("value").desc(), F.col("stage").asc()]
-    rows = stages.select(F.col(stage).alias("stage"), F.col(value).alias("value"))
+def funnel(stages: DataFrame, stage: str, value: str, ascending: bool = False, order_by: str | None = None) -> DataFrame:
+    """Stages (one row each) by value, with the rate to the previous stage and the share of the first.
+
+    With ``order_by`` the stages stay in the order of that column instead.
+    """
+    by = F.col("_by").asc() if order_by else F.col("value").asc() if ascending else F.col("value").desc()
+    order = [by, F.col("stage").asc()]
+    rows = stages.select(F.col(stage).alias("stage"), F.col(value).alias("value"), (F.col(order_by) if order_by else F.lit(None)).alias("_by"))
     placed = materialize(with_row_index(rows, order))
     head = placed.where(F.col("idx") == 0).first()
     before = placed.select((F.col("idx") + 1).alias("idx"), F.col("value").alias("prev"))

@@ -185,7 +185,7 @@ def multi_column_zscores(spark, sf):
        WHERE t.z > 3 ORDER BY t.z DESC, event_id LIMIT 100""",
 )
 def multi_column_zscores_listed(spark, sf):
-    found = anomaly.column_zscores(table(spark, sf, "events"), ["event_id", "user_id", "value"], ["event_id"])
+    found = anomaly.column_zscores(table(spark, sf, "events"), None, ["event_id"])
     return anomaly.listed_anomalies(found, ["event_id"]).withColumn("z", F.round("z", 4)).select("event_id", "column", "value", "z", "severity")
 
 

@@ -136,6 +136,19 @@ def chart_funnel(spark, sf):
     return charts.funnel(stages, "event_type", "value").withColumns({"rate_pct": F.round("rate_pct", 4), "share_pct": F.round("share_pct", 4)})
 
 
+@query(
+    "chart_funnel_as_given",
+    "V9",
+    """WITH s AS (SELECT event_type AS stage, count(*) AS value, min(event_id) AS first_id FROM events GROUP BY 1)
+       SELECT stage, value, CAST(row_number() OVER o AS INT) AS step, round(value * 100.0::DOUBLE / lag(value) OVER o, 4) AS rate_pct,
+              round(value * 100.0::DOUBLE / first_value(value) OVER o, 4) AS share_pct FROM s WINDOW o AS (ORDER BY first_id, stage)""",
+)
+def chart_funnel_as_given(spark, sf):
+    stages = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("value"), F.min("event_id").alias("first_id"))
+    found = charts.funnel(stages, "event_type", "value", order_by="first_id")
+    return found.withColumns({"rate_pct": F.round("rate_pct", 4), "share_pct": F.round("share_pct", 4)})
+
+
 _TREE = "t AS (SELECT p_type AS name, sum(p_retailprice) AS v FROM part GROUP BY 1)"
 
 

@@ -111,6 +111,15 @@ def test_ensemble_lists_methods(spark):
     assert an.detect_anomalies(series(spark, values), min_methods=4).count() == 0
 
 
+def test_zscores_of_the_first_numeric_columns(spark):
+    rows = [(f"r{i}", i, float(i % 7), 100 if i == 5 else 1, i * i) for i in range(40)]
+    df = spark.createDataFrame(rows, "name string, a long, b double, c long, d long")
+    own = sorted(map(tuple, an.column_zscores(df, None, ["name"]).collect()))
+    assert own == sorted(map(tuple, an.column_zscores(df, ["a", "b", "c"], ["name"]).collect())) and {r[1] for r in own} == {"c"}
+    with pytest.raises(ValueError):
+        an.column_zscores(df.select("name"), None, ["name"])
+
+
 def test_errors(spark):
     with pytest.raises(ValueError):
         an.anomalies_of_table(spark.createDataFrame([("a",)], "s string"), ["s"])

@@ -50,6 +50,9 @@ def test_funnel_and_treemap(spark):
     assert got == [("view", None, 100.0), ("cart", 40.0, 40.0), ("buy", 25.0, 10.0), ("odd", 0.0, 0.0)]
     up = [(r["stage"], r["rate_pct"]) for r in ch.funnel(df, "s", "n", ascending=True).orderBy("step").collect()]
     assert up == [("odd", None), ("buy", None), ("cart", 400.0), ("view", 250.0)]
+    given = spark.createDataFrame([("b", 40, 2), ("a", 10, 1), ("c", 0, 3), ("d", 5, 4)], "s string, n long, i int")
+    as_is = [(r["stage"], r["rate_pct"], r["share_pct"]) for r in ch.funnel(given, "s", "n", order_by="i").orderBy("step").collect()]
+    assert as_is == [("a", None, 100.0), ("b", 400.0, 400.0), ("c", 0.0, 0.0), ("d", None, 50.0)]
     s = ch.treemap_summary(ch.treemap(df, "s", "n")).first()
     assert (s["total"], s["largest"], s["top_pct"]) == (150.0, "view", 100.0)
 
