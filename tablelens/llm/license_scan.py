@@ -105,12 +105,14 @@ def _window_scores(files: DataFrame, idf: dict[str, float], vectors: list[dict[s
     """``_k1, _k2, _name, _score`` of the nearest window for each template and block of words.
 
     The windows of a template have as many words as it has; a shorter text is one window. A cosine is at most the
-    length of the template's vector over the words that both have: blocks and windows below that are left out.
+    length of the template's vector over the words that both have: blocks and windows below that are left out. A
+    window without an anchor of its template is below it, so only windows around anchors are looked at.
     """
     sizes = [len(words_of(text)) for _, text in templates]
     bound, reach = threshold * threshold * 0.999, BLOCK + max(sizes) - 1
     table = lambda v: F.create_map(*[F.lit(x) for w, y in v.items() for x in (w, float(y))])
-    given = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(n).alias("n"), table(v).alias("y")) for (name, _), n, v in zip(templates, sizes, vectors)])
+    held = [sorted(anchors(idf, [v], threshold)) for v in vectors]
+    given = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(n).alias("n"), table(v).alias("y"), F.array(*map(F.lit, a)).alias("a")) for (name, _), n, v, a in zip(templates, sizes, vectors, held)])
     weight = table(idf)
     shared = lambda y, words: F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(y[w] * y[w], F.lit(0.0)))
 
@@ -127,13 +129,19 @@ def _window_scores(files: DataFrame, idf: dict[str, float], vectors: list[dict[s
     words = files.select("_k1", "_k2", _words(F.col("_text")).alias("_w"))
     numbers = F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / BLOCK).cast("int"))
     blocks = words.where(F.size("_w") > 0).select("_k1", "_k2", F.posexplode(F.transform(numbers, lambda b: F.slice("_w", b * BLOCK + 1, reach))).alias("_b", "_w"))
+    blocks = blocks.where(F.arrays_overlap("_w", F.array(*map(F.lit, sorted(set().union(*held))))))
     blocks = blocks.withColumn("_in", F.array_intersect("_w", F.array(*map(F.lit, sorted(idf)))))
-    likely = blocks.select("_k1", "_k2", "_b", "_w", F.explode(F.filter(given, lambda t: shared(t["y"], F.col("_in")) >= bound)).alias("_t"))
+    fits = lambda t: F.arrays_overlap(F.col("_in"), t["a"]) & (shared(t["y"], F.col("_in")) >= bound)
+    likely = blocks.select("_k1", "_k2", "_b", "_w", F.explode(F.filter(given, fits)).alias("_t"))
     n, y = F.col("_t.n"), F.col("_t.y")
     # a block with fewer words than a window is a whole text or holds no first word
     likely = likely.where((F.size("_w") >= n) | (F.col("_b") == 0))
-    firsts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.size("_w") - n + 1)))
-    firsts = F.filter(firsts, lambda s: shared(y, F.array_intersect(F.slice("_w", s, n), F.map_keys(y))) >= bound)
+    last = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.size("_w") - n + 1))
+    places = F.transform("_w", lambda w, i: F.when(F.array_contains("_t.a", w), i + 1))
+    around = F.transform(F.array_compact(places), lambda p: F.struct(F.greatest(F.lit(1), p - n + 1).alias("a"), F.least(last, p).alias("b")))
+    around = F.transform(F.filter(around, lambda x: x["a"] <= x["b"]), lambda x: F.sequence(x["a"], x["b"]))
+    likely = likely.withColumn("_s", F.array_distinct(F.flatten(around)))
+    firsts = F.filter("_s", lambda s: shared(y, F.array_intersect(F.slice("_w", s, n), F.map_keys(y))) >= bound)
     likely = likely.withColumn("_s", firsts).where(F.size("_s") > 0)
     weighed = F.transform("_w", lambda w: F.struct(w.alias("w"), F.coalesce(weight[w], F.lit(float(unseen))).alias("x"), F.coalesce(y[w], F.lit(0.0)).alias("y")))
     likely = likely.select("_k1", "_k2", "_t", "_s", weighed.alias("_x"))
