@@ -10,7 +10,8 @@ from tablelens.operators.joins import equi_join
 QUOTAS = {"free": (10, 100), "pro": (100, 10000), "team": (500, 100000)}
 
 
-def _quota(plan: Column, which: int) -> Column:
+def quota(plan: Column, which: int) -> Column:
+    """Requests per minute (0) or per day (1) of a plan; NULL for an unknown one."""
     out = F.lit(None).cast("int")
     for name, limits in QUOTAS.items():
         out = F.when(plan == name, F.lit(limits[which])).otherwise(out)
@@ -29,12 +30,12 @@ def admitted_requests(log: DataFrame, key: str, plan: str, ts: str, tie: str) ->
     rows = log.withColumns({"_minute": F.date_trunc("minute", F.col(ts)), "_day": F.to_date(ts)})
     by_minute = Window.partitionBy(key, "_minute").orderBy(ts, tie)
     kept = rows.withColumn("in_minute", F.row_number().over(by_minute)).where(
-        (F.col("in_minute") <= widest) & (F.col("in_minute") <= _quota(F.col(plan), 0))
+        (F.col("in_minute") <= widest) & (F.col("in_minute") <= quota(F.col(plan), 0))
     )
     by_day = Window.partitionBy(key, "_day").orderBy(ts, tie)
-    kept = kept.withColumn("in_day", F.row_number().over(by_day)).where(F.col("in_day") <= _quota(F.col(plan), 1))
+    kept = kept.withColumn("in_day", F.row_number().over(by_day)).where(F.col("in_day") <= quota(F.col(plan), 1))
     return kept.withColumns(
-        {"minute_left": _quota(F.col(plan), 0) - F.col("in_minute"), "day_left": _quota(F.col(plan), 1) - F.col("in_day")}
+        {"minute_left": quota(F.col(plan), 0) - F.col("in_minute"), "day_left": quota(F.col(plan), 1) - F.col("in_day")}
     ).drop("_minute", "_day", "in_minute", "in_day")
 
 

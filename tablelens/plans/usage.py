@@ -50,3 +50,17 @@ def usage_per_minute_stream(spark, sf):
     like.repartition(8, "event_id").write.parquet(folder)
     counts = stream.minute_counts(stream.log_stream(spark, folder, "*.parquet", like, files_per_batch=1), "event_type", "ts")
     return stream.run_to_table(counts, ["minute", "event_type"]).select(F.col("minute").cast("timestamp_ntz").alias("minute"), "event_type", "n")
+
+
+@query("quota_admission_stream", "U1", f"WITH {_LOG} SELECT event_id, ts, key, CAST(minute_left AS INT) AS minute_left, CAST(day_left AS INT) AS day_left FROM ok")
+def quota_admission_stream(spark, sf):
+    """Admission with state per key and day, over the log as eight files in no order of time, one to a batch."""
+    log = _log(spark, sf)
+    folder = scratch_path(spark, "log")
+    log.repartition(8, "event_id").write.parquet(folder)
+    source = stream.log_stream(spark, folder, "*.parquet", log, files_per_batch=1)
+    admitted = stream.run_admissions(stream.admissions(source, "key", "plan", "ts", "event_id"))
+    plans = log.select("event_id", "plan")  # the numbers left follow from the admitted requests alone
+    rows = admitted.withColumnRenamed("tie", "event_id").join(plans, "event_id")
+    rows = usage.admitted_requests(rows, "key", "plan", "ts", "event_id")
+    return rows.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "key", "minute_left", "day_left")
