@@ -19,22 +19,25 @@ CHUNK, STEP = 1024, 960  # bytes; neighbours share 64
 TAPS, FILTERS = 8, 16
 SAMPLE = 2500  # labelled rows per class at most: the bound of what is learned from
 EPOCHS, BATCH, RATE = 6, 64, 0.01
+SLICE = 1024  # chunks whose bytes are laid out at once; a multiple of the 64 that are scored together
 THRESHOLD = 0.3
 _EMPTY = b" "
 
 
-def chunk_matrix(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All chunks of all rows, filled up with blanks: ``(chunks, row, bytes)``; an empty row has one blank chunk."""
+def chunk_slices(data: np.ndarray, at: np.ndarray, limit: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of all rows, filled up with blanks: ``(chunks, row, bytes)``, at most ``limit`` at once; an empty row has
+    one blank chunk."""
     sizes = np.diff(at)
     counts = np.maximum(1, -(-np.maximum(sizes - (CHUNK - STEP), 0) // STEP))
-    row = np.repeat(np.arange(len(sizes)), counts)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    begin = at[:-1][row] + number * STEP
-    length = np.minimum(CHUNK, at[1:][row] - begin)
-    place = begin[:, None] + np.arange(CHUNK)
-    inside = np.arange(CHUNK) < length[:, None]
+    rows = np.repeat(np.arange(len(sizes)), counts)
+    begins = at[:-1][rows] + (np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)) * STEP
     padded = data if len(data) else np.frombuffer(_EMPTY, np.uint8)
-    return np.where(inside, padded[np.minimum(place, len(padded) - 1)], 0x20).astype(np.uint8), row, np.maximum(length, 1)
+    for k in range(0, len(rows), limit):
+        row, begin = rows[k : k + limit], begins[k : k + limit]
+        length = np.minimum(CHUNK, at[1:][row] - begin)
+        place = np.minimum(begin[:, None] + np.arange(CHUNK), len(padded) - 1)
+        inside = np.arange(CHUNK) < length[:, None]
+        yield np.where(inside, padded[place], 0x20).astype(np.uint8), row, np.maximum(length, 1)
 
 
 class Network:
@@ -103,8 +106,10 @@ class Network:
 
     def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """One probability per row."""
-        chunks, row, size = chunk_matrix(data, at)
-        logit = self.logits(chunks).astype(np.float64)
+        parts = [(self.logits(chunks).astype(np.float64), row, size) for chunks, row, size in chunk_slices(data, at)]
+        if not parts:
+            return np.zeros(0)
+        logit, row, size = (np.concatenate(x) for x in zip(*parts))
         mean = np.bincount(row, logit * size, len(at) - 1) / np.bincount(row, size, len(at) - 1)
         return 1 / (1 + np.exp(-np.clip(mean, -30, 30)))
 
@@ -148,7 +153,8 @@ def predict(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """``doc_id, held_out, score, predicted`` per row of ``docs``.
 
     NULL counts as the empty text, which is scored as one blank chunk. Labels other than 0 and 1 and NULL ids teach
-    nothing; without labels every score is 0.5. Every row is scored by itself; an empty table gives no rows.
+    nothing; without labels every score is 0.5. Every row is scored by itself, repeated rows alike; an empty table
+    gives no rows. A very long text is laid out ``SLICE`` chunks at a time.
     """
     network, _ = learn(docs, labels, id_col, text_col, label_col)
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (fold_of(f"`{id_col}`") == 0).alias("held_out"), F.col(f"`{text_col}`").alias("_text"))

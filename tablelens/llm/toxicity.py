@@ -67,6 +67,20 @@ def fold(text: str) -> str:
     return " " + text.lower().translate(_FOLD) + " "
 
 
+def _outside(hits: list[tuple], spared: list[tuple]) -> list[tuple]:
+    """Hits that lie in no exception; both are ordered by their ends, and one pass meets them."""
+    first = [begin for begin, _, _ in spared]
+    for i in range(len(first) - 2, -1, -1):
+        first[i] = min(first[i], first[i + 1])  # the first begin of the exceptions that end here or later
+    out, i = [], 0
+    for hit in hits:
+        while i < len(spared) and spared[i][1] < hit[1]:
+            i += 1
+        if i == len(spared) or first[i] > hit[0]:
+            out.append(hit)
+    return out
+
+
 @dataclass
 class Lexicon:
     weights: dict[str, float]  # " word " or " stem"
@@ -97,7 +111,7 @@ class Lexicon:
         for end, (size, weight) in self.automaton().iter(folded):
             (spared if weight is None else hits).append((end - size + 1, end, weight))
         if spared:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)]
+            hits = _outside(hits, spared)
         total = sum(w for _, _, w in hits)
         words = max(1, folded.count(" ") - 1)
         return float(np.log1p(total)), float(np.log1p(100 * total / words))

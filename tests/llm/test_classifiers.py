@@ -89,13 +89,38 @@ def test_quality_sees_the_whole_text():
     network = quality.Network(1)
     text = bytes(random.Random(3).choices(range(97, 123), k=20_000))
     data = np.frombuffer(text, np.uint8)
-    chunks, row, size = quality.chunk_matrix(data, np.array([0, len(data)]))
+    (chunks, row, size), = quality.chunk_slices(data, np.array([0, len(data)]))
     assert chunks[-1][: size[-1]].tobytes() == text[-int(size[-1]) :] and len(chunks) == -(-(20_000 - 64) // 960)
     changed = data.copy()
     changed[-500:] = 33
     assert network.scores(data, np.array([0, 20_000]))[0] != network.scores(changed, np.array([0, 20_000]))[0]
 
 
+def test_quality_equals_a_loop_over_bytes():
+    network, rng = quality.Network(5), random.Random(5)
+    texts = [bytes(rng.choices(range(32, 127), k=n)) for n in (0, 1, 7, 1023, 1024, 1025, 1984, 1985, 5000)]
+    got = network.scores(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for text, score in zip(texts, got):
+        sums, weight, begin = 0.0, 0, 0
+        while begin == 0 or begin + quality.CHUNK - quality.STEP < len(text):
+            piece = text[begin : begin + quality.CHUNK]
+            cells = piece.ljust(quality.CHUNK)
+            best = np.max([sum(network.taps[t][cells[i + t]] for t in range(quality.TAPS)) for i in range(quality.CHUNK - quality.TAPS + 1)], axis=0)
+            sums += max(1, len(piece)) * float(np.maximum(best + network.bias, 0) @ network.out + network.shift[0])
+            weight += max(1, len(piece))
+            begin += quality.STEP
+        assert abs(score - 1 / (1 + np.exp(-sums / weight))) < 1e-5
+
+
+def test_slices_of_a_long_text_change_nothing(monkeypatch):
+    network, text = quality.Network(6), np.random.default_rng(6).integers(32, 127, 200_000).astype(np.uint8)
+    at = np.array([0, 0, 150_000, 150_003, 200_000])
+    whole = network.scores(text, at)
+    assert [len(c) for c, _, _ in quality.chunk_slices(text, at, 100)] == [100, 100, len(np.concatenate([r for _, r, _ in quality.chunk_slices(text, at)])) - 200]
+    monkeypatch.setattr(quality.chunk_slices, "__defaults__", (64,))
+    assert (network.scores(text, at) == whole).all() and len(network.scores(text[:0], np.array([0]))) == 0
+
+
 def test_pair_tables_equal_single_taps():
     network = quality.Network(2)
     chunks = np.random.default_rng(0).integers(0, 256, (3, quality.CHUNK)).astype(np.uint8)
@@ -140,6 +165,30 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_equals_plain_search():
+    """Scores against ``str.find`` of every term and exception, all pairs compared."""
+    rng, lexicon = random.Random(8), toxicity.Lexicon({" bad ": 1.0, " bad": 0.5, " trash ": 2.0, " idio": 1.5}, [" trash can ", " bad idiom ", " idiom "])
+    words = ["bad", "trash", "can", "idiot", "idiom", "trash can idiot", "b4d", "good", "badly"]
+    spots = lambda text, term: [(i, i + len(term) - 1) for i in range(len(text)) if text.startswith(term, i)]
+    for n in (0, 1, 2, 5, 30, 200):
+        text = " ".join(rng.choice(words) for _ in range(n))
+        folded = toxicity.fold(text)
+        spared = [s for e in lexicon.exceptions for s in spots(folded, e)]
+        total = sum(w for term, w in lexicon.weights.items() for a, b in spots(folded, term) if not any(c <= a and b <= d for c, d in spared))
+        count = max(1, folded.count(" ") - 1)
+        want = (np.log1p(total), np.log1p(100 * total / count)) if text else (0.0, 0.0)
+        assert np.allclose(lexicon.features(text), want)
+
+
+def test_exceptions_are_met_in_one_pass():
+    import time
+
+    lexicon = toxicity.Lexicon({" idiot ": 1.0, " trash ": 1.0}, [" trash can "])
+    begin = time.process_time()
+    assert lexicon.features("trash can idiot " * 125_000)[0] == pytest.approx(np.log1p(125_000))
+    assert time.process_time() - begin < 10
+
+
 def test_no_learned_entry_is_cut_off(spark):
     """Over 2000 terms are in all toxic texts, one is in fewer of them and is learned all the same."""
     rng = random.Random(7)
