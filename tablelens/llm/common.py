@@ -137,21 +137,22 @@ def row_sets(data: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.ndarra
     first = row_bounds(starts, at)
     counts = np.diff(first)
     n_rows = len(counts)
-    all_windows = windows(hashes, size)
-    row = np.repeat(np.arange(n_rows), counts)
-    position = np.arange(len(hashes)) - first[:-1][row] if len(hashes) else np.zeros(0, np.int64)
-    whole = np.flatnonzero(position + size <= counts[row]) if len(hashes) else np.zeros(0, np.int64)
-    values, owner = all_windows[whole], row[whole]
-    short = np.flatnonzero((counts > 0) & (counts < size))
+    long = counts >= size
+    begin = np.concatenate(([0], np.cumsum(np.where(long, counts - size + 1, counts > 0))))
+    values = np.empty(begin[-1], np.uint64)
+    inside = np.repeat(long, np.diff(begin))
+    row = np.repeat(np.arange(len(counts)), np.diff(begin))[inside]
+    values[inside] = windows(hashes, size)[first[:-1][row] + np.flatnonzero(inside) - begin[row]]
+    short = np.flatnonzero((counts > 0) & ~long)
     if len(short):
-        extra = np.array([int(windows(hashes[first[r] : first[r + 1]], counts[r])[0]) ^ int(counts[r]) for r in short], np.uint64)
-        values, owner = np.concatenate((values, mix(extra))), np.concatenate((owner, short))
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
+        values[begin[short]] = mix(np.array([int(windows(hashes[first[r] : first[r + 1]], counts[r])[0]) ^ int(counts[r]) for r in short], np.uint64))
+    # a sort per row is faster than one of all values by row
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+        values[a:b].sort()
     keep = np.ones(len(values), bool)
-    keep[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    values, owner = values[keep], owner[keep]
-    return values, np.searchsorted(owner, np.arange(n_rows + 1))
+    keep[1:] = values[1:] != values[:-1]
+    keep[begin[:-1][np.diff(begin) > 0]] = True
+    return values[keep], np.concatenate(([0], np.cumsum(keep)))[begin]
 
 
 def signed(x: np.ndarray) -> np.ndarray:
