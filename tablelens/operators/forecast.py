@@ -4,6 +4,7 @@ A fit is one row per key: ``n, method, level, trend, seasons, spread, mae, mape,
 :func:`project` turns fits into future steps. The exponential smoothers are linear recurrences,
 so a long series is cut into blocks that run in parallel: each block adds a vector, a short chain
 over the block vectors gives every block its start state, and a second pass reads the errors.
+Holt-Winters is not linear: a state is carried along each series, all series in parallel.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelens.functions.stats import round_half_up, z_for
@@ -27,7 +28,6 @@ HW_ALPHA, HW_BETA, HW_GAMMA = 0.2, 0.1, 0.1
 MAX_WINDOW, MAX_LAG, SEASONAL_ACF, SEASON_MIN = 10, 52, 0.3, 10
 TREND_SLOPE, TREND_R2 = 0.01, 0.1
 WIDEN = {"moving_average": 0.0, "single_smoothing": 0.0, "double_smoothing": 0.1, "triple_smoothing": 0.05}
-HW_BLOCK = 65536
 
 
 def period_series(df: DataFrame, ts: str, value: str, keys: Sequence[str] = (), grain: str = "day") -> DataFrame:
@@ -194,19 +194,97 @@ def double_smoothing(series: DataFrame, keys: Sequence[str] = (), alpha: float =
     return _smooth(series, keys, alpha, beta, True, size)
 
 
-def _seasonal_pass(values, start: int, level: float, trend: float, seasons, alpha: float, beta: float, gamma: float):
-    """Run the multiplicative recurrence over one block; returns the levels and trends as well."""
-    period = len(seasons)
-    levels, trends = np.empty(len(values)), np.empty(len(values))
-    for k, v in enumerate(values):
-        s = (start + k) % period
-        if start + k > 0:
-            new = alpha * (v / seasons[s]) + (1 - alpha) * (level + trend)
-            trend = beta * (new - level) + (1 - beta) * trend
-            level = new
-            seasons[s] = gamma * (v / level) + (1 - gamma) * seasons[s]
-        levels[k], trends[k] = level, trend
-    return level, trend, seasons, levels, trends
+def _ratio(a: float, b: float) -> float:
+    """Division as doubles define it, also by 0."""
+    return a / b if b else float(np.divide(a, b))
+
+
+class _SeasonalState:
+    """Level, trend and seasons of one series, moved on point by point."""
+
+    def __init__(self, level: float, trend: float, seasons: list[float], weights: tuple[float, float, float]):
+        self.level, self.trend, self.seasons, self.weights = level, trend, seasons, weights
+        self.seen = 0
+
+    def advance(self, values: list[float]) -> list[float]:
+        """``level + trend`` after every value. The first value of a series only starts it."""
+        alpha, beta, gamma = self.weights
+        level, trend, seasons, period = self.level, self.trend, self.seasons, len(self.seasons)
+        out = []
+        for at, v in enumerate(values, self.seen):
+            s = at % period
+            if at:
+                new = alpha * _ratio(v, seasons[s]) + (1 - alpha) * (level + trend)
+                trend = beta * (new - level) + (1 - beta) * trend
+                level = new
+                seasons[s] = gamma * _ratio(v, level) + (1 - gamma) * seasons[s]
+            out.append(level + trend)
+        self.level, self.trend, self.seen = level, trend, self.seen + len(values)
+        return out
+
+
+def _seasonal_start(series: DataFrame, sized: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys.., level, trend, seasons)`` before the first point: mean of each phase by the mean of all phases."""
+    rows = attach_stats(series.select(*keys, "idx", "value"), sized, keys).where(F.col("period").isNotNull())
+    phases = rows.groupBy(*keys, "period", (F.col("idx") % F.col("period")).alias("phase")).agg(
+        F.avg("value").alias("f"),
+        F.max(F.when(F.col("idx") == 0, F.col("value"))).alias("v0"),
+        F.max(F.when(F.col("idx") == F.col("period"), F.col("value"))).alias("vp"),
+    )
+    cells = F.array_sort(F.collect_list(F.struct("phase", "f")))
+    start = phases.groupBy(*keys, "period").agg(cells.alias("c"), F.avg("f").alias("mean"), F.max("v0").alias("v0"), F.max("vp").alias("vp"))
+    seasons = F.transform("c", lambda x: F.try_divide(x["f"], F.col("mean")))
+    start = start.withColumn("seasons", seasons).where(F.forall("seasons", lambda x: F.coalesce(x != 0, F.lit(False))))
+    level = F.try_divide(F.col("v0"), F.col("seasons")[0])
+    later = F.try_divide(F.col("vp"), F.col("seasons")[0])
+    return start.select(*keys, level.alias("level"), F.try_divide(later - level, F.col("period").cast("double")).alias("trend"), "seasons")
+
+
+def _carried(series: DataFrame, start: DataFrame, keys: Sequence[str], weights: tuple[float, float, float]) -> DataFrame:
+    """``(keys.., idx, value, base)`` per point, ``base`` being level plus trend there, and one row per series with
+    ``idx = -1`` and its last ``level``, ``trend`` and ``seasons``.
+
+    One exchange by key, then each task reads its series in order, batch after batch, and carries one state. The start
+    state travels as a row before the first point; points of series without one are left out.
+    """
+    none = {"level": F.lit(None).cast("double"), "trend": F.lit(None).cast("double"), "seasons": F.lit(None).cast("array<double>")}
+    points = series.select(*keys, "idx", F.col("value").cast("double").alias("value")).withColumns(none)
+    begin = start.select(*keys, F.lit(-1).cast("long").alias("idx"), F.lit(None).cast("double").alias("value"), *none)
+    rows = points.withColumn("idx", F.col("idx").cast("long")).unionByName(begin)
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "idx")
+    extra = ["idx", "value", "base", "level", "trend", "seasons"]
+
+    def ended(names: pa.RecordBatch, state: _SeasonalState) -> pa.RecordBatch:
+        cells = [pa.array([-1], pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64())]
+        cells += [pa.array([x], pa.float64()) for x in (state.level, state.trend)] + [pa.array([state.seasons], pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays([*names.columns, *cells], names=[*keys, *extra])
+
+    def run(batches):
+        state = names = None
+        for batch in batches:
+            idx = batch.column("idx").to_numpy()
+            cuts = np.flatnonzero(np.append(idx[1:] <= idx[:-1], True)) + 1 if len(idx) else []
+            first = 0
+            for last in cuts:  # a stretch of one series
+                if names is not None and (idx[first] < 0 or idx[first] == 0 and state.seen):
+                    yield ended(names, state)
+                    state = names = None
+                if idx[first] < 0:
+                    one = batch.slice(first, 1)
+                    level, trend, seasons = (one.column(c)[0].as_py() for c in ("level", "trend", "seasons"))
+                    state, names = _SeasonalState(level, trend, seasons, weights), one.select(list(keys))
+                    first += 1
+                if names is not None and last > first:
+                    part = batch.slice(first, last - first)
+                    base = pa.array(state.advance(part.column("value").to_pylist()), pa.float64())
+                    nothing = [pa.nulls(len(base), t) for t in (pa.float64(), pa.float64(), pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), part.column("idx"), part.column("value"), base, *nothing], names=[*keys, *extra])
+                first = last
+        if names is not None:
+            yield ended(names, state)
+
+    own = [f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys]
+    return placed.mapInArrow(run, ", ".join([*own, "idx long, value double, base double, level double, trend double, seasons array<double>"]))
 
 
 def triple_smoothing(
@@ -216,91 +294,39 @@ def triple_smoothing(
     alpha: float = HW_ALPHA,
     beta: float = HW_BETA,
     gamma: float = HW_GAMMA,
-    size: int = HW_BLOCK,
 ) -> DataFrame:
     """Holt-Winters, multiplicative. ``periods`` is a number or ``(keys.., period)``.
 
-    The recurrence is not linear, so blocks of one series run one after the other and hand their
-    state on; all series advance together, and a series within one block needs one round. Series
-    under two periods, or with a phase that averages 0, have no multiplicative seasons and are not
-    returned (use another model for them).
+    The recurrence is not linear, so a series has to be read in order: all series run side by side in the tasks of one
+    job, each in Arrow batches with a state of one level, one trend and the seasons, whatever its length. The errors
+    against the last seasons are column expressions over what that job wrote. Series under two periods, or with a phase
+    that averages 0, have no multiplicative seasons and are not returned (use another model for them).
     """
+    if not keys:
+        one = F.lit(0).alias("_series")
+        of = periods if isinstance(periods, int) else periods.select(one, "period")
+        return triple_smoothing(series.select(one, "idx", "value"), of, ["_series"], alpha, beta, gamma).drop("_series")
     keys = list(keys)
     lengths = _lengths(series, keys)
     if isinstance(periods, int):
         sized = lengths.withColumn("period", F.lit(periods))
     else:
-        sized = equi_join(lengths, periods.select(*keys, "period"), keys) if keys else attach_stats(lengths, periods, [])
+        sized = equi_join(lengths, periods.select(*keys, "period"), keys)
     sized = materialize(sized.where(F.col("n") >= 2 * F.col("period")).select(*keys, "n", F.col("period").cast("long").alias("period")))
-    rows = attach_stats(series.select(*keys, "idx", "value"), sized, keys).where(F.col("period").isNotNull())
-    phases = rows.groupBy(*keys, "period", (F.col("idx") % F.col("period")).alias("phase")).agg(
-        F.avg("value").alias("f"),
-        F.max(F.when(F.col("idx") == 0, F.col("value"))).alias("v0"),
-        F.max(F.when(F.col("idx") == F.col("period"), F.col("value"))).alias("vp"),
-    )
-    cells = F.array_sort(F.collect_list(F.struct("phase", "f")))
-    start = phases.groupBy(*keys, "period").agg(cells.alias("c"), F.avg("f").alias("mean"), F.max("v0").alias("v0"), F.max("vp").alias("vp"))
-    seasons = F.transform("c", lambda x: F.try_divide(x["f"], F.col("mean")))
-    start = start.withColumn("seasons", seasons).where(F.forall("seasons", lambda x: F.coalesce(x != 0, F.lit(False))))
-    level = F.try_divide(F.col("v0"), F.col("seasons")[0])
-    later = F.try_divide(F.col("vp"), F.col("seasons")[0])
-    state = materialize(
-        start.select(*keys, "period", level.alias("L"), F.try_divide(later - level, F.col("period").cast("double")).alias("T"), "seasons")
-    )
-    blocks = materialize(
-        series_blocks(rows, "idx", "value", keys, 0, size).select(*keys, "_block", F.transform("xs", lambda x: x["v"]).alias("vs"))
+    start = materialize(_seasonal_start(series, sized, keys))
+    moved = materialize(_carried(series, start, keys, (alpha, beta, gamma)))
+    final = moved.where(F.col("idx") < 0).select(*keys, "level", "trend", "seasons")
+    points = moved.where(F.col("idx") >= 0).select(*keys, "idx", "value", "base")
+    met = attach_stats(points, final.select(*keys, F.col("seasons").alias("_s")), keys)
+    err = F.col("value") - F.col("base") * F.get("_s", (F.col("idx") % F.size("_s")).cast("int"))
+    errors = met.select(*keys, "value", err.alias("e"))
+    e = F.col("e")
+    sums = errors.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("e").alias("r"), F.sum(e * e).alias("rr"), F.sum(F.abs(e)).alias("a"), F.sum(_abs_pct(e, F.col("value"))).alias("p")
     )
-    last = blocks.agg(F.max("_block")).first()[0]
-    key_schema = [f for f in series.schema.fields if f.name in keys]
-    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in key_schema], "period long, L double, T double, seasons array<double>"])
-
-    def advance(frames):
-        for pdf in frames:
-            out = []
-            for row in pdf.to_dict("records"):
-                lv, tr, se, _, _ = _seasonal_pass(row["vs"], row["_block"] * size, row["L"], row["T"], np.array(row["seasons"], dtype=float), alpha, beta, gamma)
-                out.append({**{k: row[k] for k in keys}, "period": row["period"], "L": lv, "T": tr, "seasons": se.tolist()})
-            if out:
-                yield pd.DataFrame(out)
-
-    def with_state(part: DataFrame, st: DataFrame) -> DataFrame:
-        return attach_stats(part, st, keys).where(F.col("period").isNotNull())
-
-    entering = state.withColumn("_block", F.lit(0).cast("long"))
-    final = None
-    for b in range((last or 0) + 1 if last is not None else 0):
-        moved = materialize(with_state(blocks.where(F.col("_block") == b), state).mapInPandas(advance, ddl))
-        ended = moved.withColumn("_end", F.lit(b).cast("long"))
-        final = ended if final is None else final.unionByName(ended)
-        state = moved
-        if b < last:
-            entering = entering.unionByName(moved.withColumn("_block", F.lit(b + 1).cast("long")))
-    if final is None:
-        final = state.withColumn("_end", F.lit(0).cast("long"))
-    final = final.groupBy(*keys).agg(F.max_by(F.struct("L", "T", "seasons"), "_end").alias("z"))
-    final = final.select(*keys, F.col("z.L").alias("level"), F.col("z.T").alias("trend"), F.col("z.seasons").alias("final_seasons"))
-    err_ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in key_schema], "r double, rr double, a double, p double"])
-
-    def errors(frames):
-        for pdf in frames:
-            out = []
-            for row in pdf.to_dict("records"):
-                start_i = row["_block"] * size
-                _, _, _, ls, ts = _seasonal_pass(row["vs"], start_i, row["L"], row["T"], np.array(row["seasons"], dtype=float), alpha, beta, gamma)
-                v = np.asarray(row["vs"], dtype=float)
-                fin = np.asarray(row["final_seasons"], dtype=float)
-                err = v - (ls + ts) * fin[(start_i + np.arange(len(v))) % len(fin)]
-                ape = np.where(v != 0, np.abs(err / np.where(v != 0, v, 1.0)) * 100, 0.0)
-                out.append({**{k: row[k] for k in keys}, "r": err.sum(), "rr": (err * err).sum(), "a": np.abs(err).sum(), "p": ape.sum()})
-            if out:
-                yield pd.DataFrame(out)
-
-    started = equi_join(blocks, entering, [*keys, "_block"])
-    parts = attach_stats(started, final.select(*keys, "final_seasons"), keys).mapInPandas(errors, err_ddl)
-    sums = parts.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in ("r", "rr", "a", "p")])
-    joined = attach_stats(attach_stats(sums, final, keys), sized.select(*keys, "n"), keys)
+    joined = equi_join(final, sums, keys)
     return joined.select(
-        *keys, "n", F.lit("triple_smoothing").alias("method"), "level", "trend", F.col("final_seasons").alias("seasons"),
+        *keys, "n", F.lit("triple_smoothing").alias("method"), "level", "trend", "seasons",
         *_accuracy(F.col("n"), {x: F.col(x) for x in ("r", "rr", "a", "p")}),
     )
 

@@ -2,6 +2,7 @@ import math
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablelens.operators import forecast as fc
 
@@ -96,15 +97,43 @@ def winters(values, p, alpha=0.2, beta=0.1, gamma=0.1):
     return {"level": level, "trend": trend, **accuracy(values, res)}, ahead
 
 
-@pytest.mark.parametrize("size", [10, 65536])
-def test_triple_smoothing_hands_its_state_on(series, size):
-    fits = fc.triple_smoothing(series, 7, ["k"], size=size)
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_triple_smoothing_carries_its_state(spark, series, batch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, batch)
+    try:
+        fits = fc.materialize(fc.triple_smoothing(series, 7, ["k"]))
+    finally:
+        spark.conf.set(name, before)
     want = {k: winters(v, 7)[0] for k, v in VALUES.items() if k in ("trend", "season")}
     check(fits, want)
     steps = {r["step"]: r["value"] for r in fc.project(fits, 5, keys=["k"]).where("k = 'season'").collect()}
     assert [steps[i] for i in range(1, 6)] == pytest.approx(winters(VALUES["season"], 7)[1])
 
 
+def test_triple_smoothing_of_a_long_series(spark):
+    n = 1_000_000
+    rows = spark.range(n).select(F.col("id").alias("idx"), (100 + 10 * (F.col("id") % 4) + F.col("id") % 7).cast("double").alias("value"))
+    got = fc.triple_smoothing(rows, 4).first()
+    want = winters([100.0 + 10 * (i % 4) + i % 7 for i in range(n)], 4)[0]
+    assert got["n"] == n
+    for name, value in want.items():
+        assert got[name] == pytest.approx(value, rel=1e-7, abs=1e-6), name
+
+
+def test_triple_smoothing_without_enough_points(spark):
+    rows = spark.createDataFrame([(i, float(i)) for i in range(5)], "idx long, value double")
+    assert fc.triple_smoothing(rows, 4).count() == 0
+    assert fc.triple_smoothing(rows.limit(0), 4).count() == 0
+
+
+def test_triple_smoothing_keeps_a_null_key_apart(spark):
+    rows = [(k, i, 10.0 + i % 3 + (k or 0)) for k in (None, 1) for i in range(12)]
+    got = fc.triple_smoothing(spark.createDataFrame(rows, "k long, idx long, value double"), 3, ["k"]).collect()
+    assert {r["k"]: r["level"] for r in got} == pytest.approx({k: winters([10.0 + i % 3 + (k or 0) for i in range(12)], 3)[0]["level"] for k in (None, 1)})
+
+
 def test_seasonality_and_trend(series):
     got = {r["k"]: (r["detected"], r["period"]) for r in fc.seasonality(series, ["k"]).collect()}
     assert got["season"] == (True, 14) or got["season"] == (True, 7)
