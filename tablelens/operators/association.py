@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelens.operators.profile import columns_of
@@ -14,6 +13,7 @@ from tablelens.session import materialize
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.1, 0.5, 1.0
 STRONG_LIFT, MEDIUM_LIFT = 2.0, 1.5
 EPS = 1e-9
+WORDS = 8  # 64-bit words of a bitmap row
 
 
 def row_transactions(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -31,49 +31,83 @@ def binned_transactions(df: DataFrame, columns: Sequence[str], bins: int = 5, ke
 
 
 def baskets(df: DataFrame, basket: str, item: str | Column) -> DataFrame:
-    """One sorted item set per basket id from long rows.
+    """One sorted item set per basket id from long rows; for showing, mining does not need it.
 
     Repeated pairs are removed first, so a basket costs as many entries as it has different items.
     """
-    value = F.col(item) if isinstance(item, str) else item
-    pairs = df.select(F.col(basket), value.cast("string").alias("item")).dropna().distinct()
+    pairs = _pairs(df, basket, item)
     return pairs.groupBy(basket).agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
+def _pairs(df: DataFrame, basket: str, item: str | Column) -> DataFrame:
+    value = F.col(item) if isinstance(item, str) else item
+    return df.select(F.col(basket), value.cast("string").alias("item")).dropna().distinct()
+
+
 def frequent_itemsets(transactions: DataFrame, min_support: float = MIN_SUPPORT, max_size: int | None = None) -> DataFrame:
-    """Itemsets with support >= ``min_support``: ``(items, size, freq, support, n)``, items sorted."""
-    n = transactions.count()
-    return _mine(transactions, n, n, min_support, max_size)
+    """Itemsets with support >= ``min_support``: ``(items, size, freq, support, n)``, items sorted.
+
+    NULL items and repeated items of a transaction count for nothing.
+    """
+    numbered = materialize(transactions.select("items").withColumn("tid", F.monotonically_increasing_id()))
+    rows = numbered.select("tid", F.explode("items").alias("item")).dropna()
+    once = numbered.select("tid", F.explode(F.array_distinct("items")).alias("item")).dropna()
+    return _mine(rows, once, numbered.count(), min_support, max_size)
 
 
 def frequent_itemsets_of_pairs(df: DataFrame, basket: str, item: str | Column, min_support: float = MIN_SUPPORT, max_size: int | None = None) -> DataFrame:
-    """The same from long rows, dropping infrequent items before any basket is collected.
+    """The same from long rows. A basket is never a list, so its size does not matter."""
+    pairs = materialize(_pairs(df, basket, item))
+    numbered = materialize(pairs.select(basket).distinct().withColumn("tid", F.monotonically_increasing_id()))
+    rows = pairs.join(numbered, basket).select("tid", "item")
+    return _mine(rows, pairs.select("item"), numbered.count(), min_support, max_size)
+
 
-    What remains per basket is bounded: no more than (mean basket size / min_support) items are
-    frequent.
+def _bits(rows: DataFrame) -> DataFrame:
+    """``(block, sid, w0, w1, ..)``: which transactions of a block of ``64 * WORDS`` have the item, one bit each."""
+    tid = F.col("tid")
+    word, bit = F.shiftright(tid, 6) % WORDS, F.expr("shiftleft(1L, cast(tid % 64 as int))")
+    words = [F.bit_or(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
+    return rows.groupBy(F.floor(tid / (64 * WORDS)).alias("block"), "sid").agg(*words)
+
+
+def _mine(rows: DataFrame, once: DataFrame, n: int, min_support: float, max_size: int | None) -> DataFrame:
+    """Level by level: sets that share all but their last item are joined, and the bitmaps of both give that of the
+    union by AND; its ones are the transactions. ``rows(tid, item)``; ``once(item)`` has every pair once.
+
+    Only frequent items and sets have bitmaps, and a level is as many rows as its sets stand in blocks, whatever the
+    number of items in a transaction.
     """
-    value = F.col(item) if isinstance(item, str) else item
-    pairs = materialize(df.select(F.col(basket).alias("basket"), value.cast("string").alias("item")).dropna().distinct())
-    n = pairs.select("basket").distinct().count()
     need = min_support * n - EPS
-    counts = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= need).select("item")
-    kept = pairs.join(counts, "item", "left_semi")
-    kept_baskets = materialize(baskets(kept, "basket", "item"))
-    return _mine(kept_baskets, n, kept_baskets.count(), min_support, max_size)
-
-
-def _mine(transactions: DataFrame, n: int, present: int, min_support: float, max_size: int | None) -> DataFrame:
-    """Mine ``present`` transactions against the support base ``n``."""
-    # the support limit is inclusive; the library rounds its count threshold up in floating point
-    relative = min(1.0, max(min_support * n - EPS * n, 0.0) / present) if present else 1.0
-    growth = FPGrowth(itemsCol="items", minSupport=relative, minConfidence=0.0)
-    sets = growth.fit(transactions.select("items")).freqItemsets
-    out = sets.select(F.array_sort("items").alias("items"), F.size("items").alias("size"), F.col("freq").alias("freq")).where(
-        F.col("freq") >= min_support * n - EPS
-    )
-    if max_size is not None:
-        out = out.where(F.col("size") <= max_size)
-    return out.select("items", "size", "freq", (F.col("freq") / F.lit(float(n))).alias("support"), F.lit(n).cast("long").alias("n"))
+    counts = once.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= need)
+    single = counts.select(F.array("item").alias("items"), F.col("item").alias("last"), F.lit(None).cast("long").alias("prefix"), "freq")
+    sets = materialize(single.withColumn("sid", F.monotonically_increasing_id()))
+    found, size = sets, 1
+    bits = None
+    while max_size is None or size < max_size:
+        a = sets.select("sid", "prefix", "last", "items")
+        b = sets.select(F.col("sid").alias("other"), F.col("prefix").alias("_p"), F.col("last").alias("next"))
+        pairs = materialize(a.join(b, F.col("prefix").eqNullSafe(F.col("_p")) & (F.col("last") < F.col("next"))).select("sid", "other", "items", "next"))
+        if pairs.isEmpty():
+            break
+        if bits is None:
+            bits = materialize(_bits(rows.join(sets.select("sid", F.col("last").alias("item")), "item")))
+        names = [f"w{w}" for w in range(WORDS)]
+        right = bits.select("block", F.col("sid").alias("other"), *[F.col(w).alias(f"_{w}") for w in names])
+        both = bits.join(pairs.select("sid", "other"), "sid").join(right, ["block", "other"])
+        both = both.select("block", "sid", "other", *[F.col(w).bitwiseAND(F.col(f"_{w}")).alias(w) for w in names])
+        met = both.withColumn("c", sum(F.bit_count(w) for w in names)).where("c > 0")
+        size += 1
+        if size != max_size:  # the next level needs the bitmaps
+            met = materialize(met)
+        freq = met.groupBy("sid", "other").agg(F.sum("c").alias("freq")).where(F.col("freq") >= need)
+        kept = freq.join(pairs, ["sid", "other"]).withColumn("_id", F.monotonically_increasing_id())
+        kept = materialize(kept.select("sid", "other", "_id", "freq", F.concat("items", F.array("next")).alias("items"), F.col("next").alias("last")))
+        sets = kept.select("items", "last", F.col("sid").alias("prefix"), "freq", F.col("_id").alias("sid"))
+        found = found.unionByName(sets)
+        if size != max_size:
+            bits = met.join(kept.select("sid", "other", "_id"), ["sid", "other"]).select("block", F.col("_id").alias("sid"), *names)
+    return found.select("items", F.size("items").alias("size"), "freq", (F.col("freq") / F.lit(float(n))).alias("support"), F.lit(n).cast("long").alias("n"))
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:

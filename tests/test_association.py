@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import pytest
@@ -48,6 +49,43 @@ def test_long_rows_give_the_same_sets(spark):
     assert len(got) == 7
 
 
+def brute(sets, limit, max_size=9):
+    items = sorted(set().union(*sets))
+    counts = {c: sum(set(c) <= t for t in sets) for size in range(1, max_size + 1) for c in combinations(items, size)}
+    return {c: f for c, f in counts.items() if f and f >= limit * len(sets) - 1e-9}
+
+
+@pytest.mark.parametrize("max_size", [None, 1, 2, 4])
+def test_sets_over_many_blocks(spark, max_size):
+    rng = random.Random(5)
+    sets = [{x for x in "abcdefg" if rng.random() < 0.15 + 0.1 * (ord(x) - 97)} for _ in range(3000)]
+    df = tx(spark, sets)
+    want = brute(sets, 0.05, max_size or 7)
+    assert max(map(len, want)) == (max_size or max(map(len, want)))
+    for given in (df, df.repartition(5), df.coalesce(1)):
+        got = a.frequent_itemsets(given, 0.05, max_size).collect()
+        assert {tuple(r["items"]): r["freq"] for r in got} == want and len(got) == len(want)
+    long = [(i, x) for i, s in enumerate(sets) for x in s for _ in range(2)]
+    pairs = spark.createDataFrame(long, "basket long, item string")
+    n = len([s for s in sets if s])
+    got = a.frequent_itemsets_of_pairs(pairs, "basket", "item", 0.05, max_size).collect()
+    assert {tuple(r["items"]): r["freq"] for r in got} == brute([s for s in sets if s], 0.05, max_size or 7)
+    assert {r["n"] for r in got} == {n}
+
+
+def test_empty_and_odd_transactions(spark):
+    rows = [(["a", None, "a", "b"],), ([],), (None,), ([None],), (["b"],)]
+    got = {tuple(r["items"]): (r["freq"], r["n"]) for r in a.frequent_itemsets(spark.createDataFrame(rows, "items array<string>"), 0.2).collect()}
+    assert got == {("a",): (1, 5), ("b",): (2, 5), ("a", "b"): (1, 5)}
+    assert a.frequent_itemsets(tx(spark, [{"a"}]).limit(0), 0.1).count() == 0
+
+
+def test_one_basket_with_most_rows(spark):
+    rows = [(0, f"i{k}") for k in range(5000)] + [(b, f"i{k}") for b in range(1, 40) for k in (1, 2)]
+    got = a.frequent_itemsets_of_pairs(spark.createDataFrame(rows, "basket long, item string"), "basket", "item", 0.5).collect()
+    assert {tuple(r["items"]): r["freq"] for r in got} == {("i1",): 40, ("i2",): 40, ("i1", "i2"): 40}
+
+
 def test_row_transactions_drop_empty_cells(spark):
     df = spark.createDataFrame([("x", None), (None, None), ("y", "z")], "p string, q string")
     assert sorted(tuple(r["items"]) for r in a.row_transactions(df, ["p", "q"]).collect()) == [("p=x",), ("p=y", "q=z")]
