@@ -90,7 +90,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Instead of sorting a source, its words are summed by bucket of the rank; only the bucket in which the
     target falls is looked at again, bit by bit, so that at last a handful of rows is sorted. NULL or empty texts
     have size 0 and are taken 0 times; NULL sources form one source, NULL ids rank as the empty id; ties are
-    broken by id and size; an empty table gives an empty result.
+    broken by id and size, and of rows equal in these as many are taken as fit, by their place in the table. Very long
+    texts are counted whole. Ids may have any type with an order. ``_row`` holds the columns of ``docs`` under their own
+    names, so these may clash with those above. An empty table gives an empty result.
     """
     rows = with_whole_rows(docs, F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("_source"), word_count(F.col(f"`{text_col}`")).alias("size"))
     return rows_with_copies(rows, seed)
@@ -98,7 +100,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def rows_with_copies(rows: DataFrame, seed: int = 0) -> DataFrame:
     """``rows`` has ``doc_id``, ``_source``, ``size``; see ``mix``. Other columns are carried."""
-    rows = materialize(rows.withColumn("_class", size_class(F.col("size"))))
+    rows = materialize(rows.withColumn("_class", size_class(F.col("size"))).withColumn("_place", F.monotonically_increasing_id()))
     targets = materialize(source_targets(rows))
     plan = materialize(class_copies(rows, targets))
     left = plan.groupBy("_source").agg((F.max("target") - F.sum(F.floor("_copies") * F.col("_words"))).alias("_left"))
@@ -113,15 +115,25 @@ def rows_with_copies(rows: DataFrame, seed: int = 0) -> DataFrame:
     chance = F.col("_copies") - F.col("_sure")
     met = met.withColumn("_rank", F.when((F.col("size") > 0) & (chance > 0), pareto_rank(F.col("doc_id"), chance, seed)))
     met = met.drop("_by_class", "_copies", "_class")
-    cut = _cuts(met)
+    cut = materialize(_cuts(met))
+    upto = F.lit(None).cast("long")
+    if not cut.where("_fit < _equal").isEmpty():
+        met_ties = _places(met, cut).withColumnRenamed("_cut_source", "_s")
+        cut = cut.join(met_ties, F.col("_cut_source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        upto = F.col("_upto_place")
     placed = met.join(cut, F.col("_source").eqNullSafe(F.col("_cut_source")), "left")
-    at = F.struct(F.col("_rank").alias("r"), F.col("doc_id").alias("d"), F.col("size").alias("s"))
-    extra = F.when(F.col("_rank").isNotNull() & (at <= F.col("_last")), 1).otherwise(0)
+    fits = (_at() < F.col("_last")) | (_at().eqNullSafe(F.col("_last")) & F.coalesce(F.col("_place") <= upto, F.lit(True)))
+    extra = F.when(F.col("_rank").isNotNull() & fits, 1).otherwise(0)
     taken = ((F.col("_sure") + extra) * F.col("size")).alias("taken")
-    carried = [c for c in rows.columns if c not in ("doc_id", "size", "_class", "_source")]
+    carried = [c for c in rows.columns if c not in ("doc_id", "size", "_class", "_source", "_place")]
     return placed.select(*carried, "doc_id", "size", "source_size", "target", taken)
 
 
+def _at() -> Column:
+    """Place of a row in the order of its source."""
+    return F.struct(F.col("_rank").alias("r"), F.col("doc_id").alias("d"), F.col("size").alias("s"))
+
+
 def _slot(level: int) -> Column:
     """Bucket of the rank at a level: the rank mapped to (0, 1), cut into ``BUCKET_BITS`` more bits per level."""
     return F.floor(F.col("_rank") / (1 + F.col("_rank")) * float(1 << BUCKET_BITS * level)).cast("long")
@@ -141,16 +153,38 @@ def _cuts(met: DataFrame) -> DataFrame:
         hit = materialize(hit.select(F.col("_source").alias("_s"), F.col("_hit._slot").alias("_pick"), (F.col("_hit._upto") - F.col("_hit._words")).alias("_done")))
         inside = rest.join(hit, F.col("_source").eqNullSafe(F.col("_s")) & (_slot(level) == F.col("_pick")))
         rest = inside.select("_source", "_rank", "doc_id", "size", (F.col("_left") - F.col("_done")).alias("_left"))
+    # rows with equal places are one group, however many they are
+    groups = rest.groupBy("_source", "_rank", "doc_id", "size").agg(F.count(F.lit(1)).alias("_equal"), F.max("_left").alias("_left"))
     order = Window.partitionBy("_source").orderBy("_rank", F.col("doc_id").asc_nulls_first(), "size")
-    run = rest.withColumn("_upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.coalesce(F.sum(F.col("size") * F.col("_equal")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # a document is taken if that brings the sum nearer to the target
-    chosen = run.where(F.col("_upto") - F.col("size") / 2 <= F.col("_left"))
-    last = chosen.groupBy("_source").agg(F.max(F.struct(F.col("_rank").alias("r"), F.col("doc_id").alias("d"), F.col("size").alias("s"))).alias("_last"))
+    one = F.when(F.col("_before") + F.col("size") - F.col("size") / 2 <= F.col("_left"), 1).otherwise(0)
+    several = F.least(F.greatest(F.floor((F.col("_left") - F.col("_before")) / F.col("size") + 0.5), F.lit(0)), F.col("_equal"))
+    run = groups.withColumn("_before", before).withColumn("_fit", F.when(F.col("_equal") == 1, one).otherwise(several).cast("long"))
+    last = run.where("_fit > 0").groupBy("_source").agg(F.max(_at()).alias("_last"), F.max_by(F.struct("_fit", "_equal"), _at()).alias("_n"))
     first = rest.groupBy("_source").agg(F.min("_rank").alias("_low"))
     both = first.join(last.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left")
     # where nothing of the bucket is taken, everything before the bucket is
-    nothing = F.struct(F.col("_low").alias("r"), F.lit(None).cast("long").alias("d"), F.lit(-1).cast("long").alias("s"))
-    return both.select(F.col("_source").alias("_cut_source"), F.coalesce("_last", nothing).alias("_last"))
+    nothing = F.struct(F.col("_low").alias("r"), F.lit(None).cast(rest.schema["doc_id"].dataType).alias("d"), F.lit(-1).cast("long").alias("s"))
+    return both.select(F.col("_source").alias("_cut_source"), F.coalesce("_last", nothing).alias("_last"), F.col("_n._fit").alias("_fit"), F.col("_n._equal").alias("_equal"))
+
+
+def _places(met: DataFrame, cut: DataFrame) -> DataFrame:
+    """``_cut_source, _upto_place`` for sources of whose last equal rows only a part fits: the place of the last taken.
+
+    Equal rows are counted by partition of the table; only the partition in which the last one stands is put in order.
+    """
+    split = cut.where("_fit < _equal").select("_cut_source", "_last", "_fit")
+    tied = met.join(split, F.col("_source").eqNullSafe(F.col("_cut_source")) & _at().eqNullSafe(F.col("_last")))
+    tied = tied.select("_cut_source", "_place", F.shiftright("_place", 33).alias("_part"), "_fit")
+    parts = tied.groupBy("_cut_source", "_part").agg(F.count(F.lit(1)).alias("_n"), F.max("_fit").alias("_fit"))
+    upto = F.sum("_n").over(Window.partitionBy("_cut_source").orderBy("_part"))
+    parts = parts.withColumn("_before", upto - F.col("_n"))
+    hit = parts.where((F.col("_before") < F.col("_fit")) & (F.col("_fit") <= F.col("_before") + F.col("_n")))
+    hit = materialize(hit.select(F.col("_cut_source").alias("_s"), F.col("_part").alias("_p"), (F.col("_fit") - F.col("_before")).alias("_nth")))
+    inside = tied.join(hit, F.col("_cut_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
+    number = F.row_number().over(Window.partitionBy("_cut_source").orderBy("_place"))
+    return materialize(inside.withColumn("_number", number).where(F.col("_number") == F.col("_nth")).select("_cut_source", F.col("_place").alias("_upto_place")))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

@@ -64,3 +64,47 @@ def test_nothing_to_take(spark, none):
     assert mixing.mixed_documents(none).count() == 0
     blank = spark.createDataFrame([(1, None, None, None), (2, "", None, "a")], "doc_id long, text string, lang string, source string")
     assert [(r.size, r.taken) for r in mixing.mixed_documents(blank).collect()] == [(0, 0), (0, 0)]
+
+
+def taken_by_source(got):
+    sums = defaultdict(lambda: [0, 0])
+    for r in got:
+        sums[r.source_size][0] = r.target
+        sums[r.source_size][1] += r.taken
+    return sums.values()
+
+
+def test_rows_without_ids_meet_their_targets(spark):
+    rows = [(None, "w " * 5, "en", "a")] * 300 + [(None, "w " * 4, "en", "b")] * 900 + [(None, "w " * 7, "en", None)] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for given in (df, df.repartition(9), df.coalesce(1)):
+        got = mixing.mixed_documents(given).collect()
+        assert len(got) == 1300
+        sums = taken_by_source(got)
+        assert len(sums) == 3 and all(abs(taken - target) <= 4 for target, taken in sums), list(sums)
+
+
+def test_one_id_on_half_of_a_source(spark):
+    rng = random.Random(8)
+    rows = [(7 if i % 2 else i, "w " * (24 if i % 2 else rng.randint(1, 30)), "en", "ab"[i % 3 > 1]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mixed_documents(df).collect()
+    assert len(got) == 1200 and all(r.taken <= 3 * r.size for r in got)
+    assert all(abs(taken - target) <= 16 for target, taken in taken_by_source(got))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mixed_documents(df.repartition(5)).collect()))
+
+
+def test_ids_of_other_types(spark):
+    rows = [(f"d{i % 50}" if i % 7 else None, "w " * (1 + i % 9), "en", "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
+    got = mixing.mixed_documents(df).collect()
+    assert len(got) == 400 and {r.doc_id for r in got} == {r[0] for r in rows}
+    assert all(abs(taken - target) <= 5 for target, taken in taken_by_source(got))
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(i, "w " * (1 + i % 5), "a", i, "x", i, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, _last string, _place long, taken long")
+    got = mixing.mix(df).collect()
+    assert len(got) == 40 and sorted(r._row["_place"] for r in got) == list(range(40))
+    assert [r.size for r in sorted(got, key=lambda r: r.doc_id)] == [1 + i % 5 for i in range(40)]
