@@ -147,7 +147,10 @@ def top_combined_itemsets(spark, sf):
     return sets.select(_text("items"), "size", "freq", F.round("support", 6).alias("support"))
 
 
-@query("table_rules", "A7")
+_ORDERS = " UNION ALL ".join(f"SELECT o_orderkey AS t, '{c}=' || {c} AS item FROM orders WHERE {c} IS NOT NULL" for c in ("o_orderstatus", "o_orderpriority"))
+
+
+@query("table_rules", "A7", f"WITH {itemsets_sql(_ORDERS, 0.01)}, {_RULES.format(c=0.15, l=1.0)} SELECT {_SHOW_RULES} FROM rr")
 def table_rules(spark, sf):
     rules = assoc.rules_of_table(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"], min_support=0.01, min_confidence=0.15)
     return _show_rules(rules)
